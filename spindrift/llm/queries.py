@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op7_packing
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
 }
 

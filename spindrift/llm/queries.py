@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .packing import op7_packing
+from .quality_rules import OP1_SQL, op1_quality_rules
+from .sharding import op3_sharding
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+}

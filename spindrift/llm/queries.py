@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import OP10_SQL, op10_license_scan
 from .packing import op7_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .sharding import op3_sharding
@@ -12,8 +13,10 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op10_license_scan": OP10_SQL,
 }

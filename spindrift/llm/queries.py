@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op2_language_id
 from .license_scan import OP10_SQL, op10_license_scan
 from .packing import op7_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
@@ -10,6 +11,7 @@ from .simhash import op8_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_id import op2_language_id
 from .license_scan import OP10_SQL, op10_license_scan
 from .packing import op7_packing
+from .quality_knn import op6_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .sharding import op3_sharding
 from .simhash import op8_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op10_license_scan": op10_license_scan,

@@ -9,11 +9,13 @@ from .quality_knn import op6_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .sharding import op3_sharding
 from .simhash import op8_simhash
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,

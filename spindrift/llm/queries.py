@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_decontamination
 from .language_id import op2_language_id
 from .license_scan import OP10_SQL, op10_license_scan
 from .packing import op7_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
 }
 

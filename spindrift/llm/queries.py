@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op9_decontamination
+from .html_extract import op4_html_extract
 from .language_id import op2_language_id
 from .license_scan import OP10_SQL, op10_license_scan
 from .packing import op7_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op4_html_extract": op4_html_extract,
     "op5_toxicity": op5_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,

@@ -87,6 +87,30 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, struct)
 
 
+def appended(df: DataFrame, inputs: dict[str, str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], prefix: str = "_new_") -> DataFrame:
+    """``df`` with the columns that a batch function makes, one value a row, named with ``prefix``.
+
+    inputs: columns that the function gets, in order, and the types that they are cast to.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(schema)
+    width, names = len(df.columns), list(inputs)
+    struct = StructType([*df.schema.fields, *(type(f)(prefix + f.name, f.dataType) for f in added.fields)])
+    kinds = [_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            out = function(pa.RecordBatch.from_arrays(batch.columns[width:], names=names))
+            new = [c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=t) for f, t in zip(added.fields, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[f.name for f in struct.fields])
+
+    return df.select("*", *(F.col(c).cast(t).alias(f"_in_{k}") for k, (c, t) in enumerate(inputs.items()))).mapInArrow(run, struct)
+
+
 def _arrow_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -21,12 +21,13 @@ occurs, a repeated item under each of its ids.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import appended, by_batch
 
 OTHER = re.compile(r"[\W_]+")
 GRAM = 4
@@ -163,22 +164,50 @@ def _scan(docs: DataFrame, items: list[tuple], rate: float, least: int) -> DataF
     return by_batch(docs, SCHEMA, make)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least: int = 24, part_chars: int = 4_000_000) -> DataFrame:
-    """One row for each item that occurs in a document: its best span (code points of the text) and edits."""
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+def _clean(docs: DataFrame, id_col: str, text_col: str, items: list[tuple], rate: float, least: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def make():
+        found = Items([i for i, _ in shared.value], [t for _, t in shared.value], rate, least)
+
+        def run(batch):
+            return {"items": [len(found.matches(normalised(t))) if t else 0 for t in batch.column(1).to_pylist()]}
+
+        return run
+
+    flagged = appended(docs, {id_col: "long", text_col: "string"}, "items int", make)
+    return flagged.where("_new_items = 0").select(*docs.columns)
+
+
+def item_parts(benchmark: DataFrame, item_col: str, item_text_col: str, part_chars: int) -> Iterator[list[tuple]]:
+    """The normalised items, at most about ``part_chars`` characters at a time."""
     items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     parts = -(-chars // part_chars)
-    out = None
     for n in range(parts):
         part = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == n) if parts > 1 else items
         held = [(r[0], t) for r in part.orderBy("k", "t").collect() if (t := normalised(r[1]))]
         if held:
-            found = _scan(rows, held, rate, least)
-            out = found if out is None else out.unionByName(found)
+            yield held
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least: int = 24, part_chars: int = 4_000_000) -> DataFrame:
+    """One row for each item that occurs in a document: its best span (code points of the text) and edits."""
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    out = None
+    for held in item_parts(benchmark, item_col, item_text_col, part_chars):
+        found = _scan(rows, held, rate, least)
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, least: int = 24, part_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` in which no item occurs, as they are."""
+    for held in item_parts(benchmark, item_col, item_text_col, part_chars):
+        docs = _clean(docs, id_col, text_col, held, rate, least)
+    return docs
+
+
 def op9_decontamination(spark, sf_dir):
     from .common import table
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, crc32_mod, spread, text_bytes
+from .common import appended, by_batch, crc32_mod, spread, text_bytes
 
 SHAPES = 256
 BLOCK = 512
@@ -164,9 +164,12 @@ def vote(vectors: np.ndarray, model: Model, neighbours: int, power: int) -> np.n
     return np.where(total > 0, (weight * model.labels[at]).sum(axis=1) / np.maximum(total, 1e-12), 0.0)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", neighbours: int = 25, power: int = 8) -> DataFrame:
-    """``(id, score)`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+SCORE = "id long, score double"
+
+
+def scorer(spark, model: Model | None, neighbours: int, power: int):
+    """The batch function's maker: scores of (id, text) batches."""
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
@@ -189,13 +192,34 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
         return run
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "id long, score double", make)
+    return make
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", neighbours: int = 25, power: int = 8) -> DataFrame:
+    """``(id, score)`` for every row."""
+    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), SCORE, scorer(docs.sparkSession, model, neighbours, power))
+
+
+def kept_documents(docs: DataFrame, model: Model | None, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", neighbours: int = 25, power: int = 8) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, as they are; all of them without a model."""
+    if model is None:
+        return docs
+    scored = appended(docs, {id_col: "long", text_col: "string"}, SCORE, scorer(docs.sparkSession, model, neighbours, power))
+    return scored.where(F.col("_new_score") >= least).select(*docs.columns)
+
+
+def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The labels that may be learned from: four fifths of the ids, and those without an id."""
+    return labels.where(~held_out(id_col))
+
+
+def held_out(id_col: str):
+    return F.coalesce(crc32_mod(id_col, 5) == 0, F.lit(False))
 
 
 def op6_quality_classifier(spark, sf_dir):
     from .common import table
 
-    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs, table(spark, sf_dir, "labels").where(~held_out), "quality")
-    return score(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(crc32_mod("id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    model = learn(docs, learnable(table(spark, sf_dir, "labels")), "quality")
+    return score(docs, model).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_bytes
+from .common import appended, by_batch, text_bytes
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -134,8 +134,8 @@ def _duplicate_lines(text: bytes) -> int:
 MEASURES = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8) -> DataFrame:
-    """Counts of each text, with the repeats of at least ``least`` words."""
+def measurer(least: int):
+    """The batch function's maker: counts of (id, text) batches."""
 
     def make():
         def run(batch):
@@ -167,25 +167,37 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
         return run
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), MEASURES, make)
+    return make
+
+
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8) -> DataFrame:
+    """Counts of each text, with the repeats of at least ``least`` words."""
+    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), MEASURES, measurer(least))
 
 
-def judged(measured: DataFrame, min_words: int = 20, base_percent: int = 30, max_percent: int = 30, max_repeat: int = 64) -> DataFrame:
+def judged(measured: DataFrame, min_words: int = 20, base_percent: int = 30, max_percent: int = 30, max_repeat: int = 64, prefix: str = "") -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``.
 
     The method's own verdict rejects a text whose repeats cover more than
     ``max_percent`` of its words or whose longest repeat has more than
     ``max_repeat`` words.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > base_percent * F.col("n_words"))
-    good = (100 * F.col("n_repeat_words") <= max_percent * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
+    words, repeated, longest = (F.col(prefix + n) for n in ("n_words", "n_repeat_words", "longest_repeat"))
+    failed = (words < min_words) | (100 * repeated > base_percent * words)
+    good = (100 * repeated <= max_percent * words) & (longest <= max_repeat)
+    return measured.withColumn(f"{prefix}base_failed", failed).withColumn(f"{prefix}kept", ~failed & good)
 
 
 def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     return judged(measures(docs, id_col, text_col), **limits)
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8, **limits) -> DataFrame:
+    """The rows of ``docs`` that pass, as they are."""
+    measured = judged(appended(docs, {id_col: "long", text_col: "string"}, MEASURES, measurer(least)), prefix="_new_", **limits)
+    return measured.where("_new_kept").select(*docs.columns)
+
+
 def op1_quality_rules(spark, sf_dir):
     from .common import table
 

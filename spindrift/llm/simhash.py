@@ -58,16 +58,20 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long."""
+    """``(id, hash, fp)``: the text's hash and its fingerprint as a signed long."""
 
     def make():
         def run(batch):
-            values = [fingerprint(t, shingle, seed) for t in text_bytes(batch.column(1))]
-            return {"id": batch.column(0), "fp": np.array(values, dtype=np.uint64).view(np.int64)}
+            values = [fingerprint(t, shingle, seed) for t in text_bytes(batch.column(2))]
+            return {"id": batch.column(0), "hash": batch.column(1), "fp": np.array(values, dtype=np.uint64).view(np.int64)}
 
         return run
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "id long, fp long", make)
+    return by_batch(docs.select(F.col(id_col).cast("long"), _hash(text_col), F.col(text_col).cast("string")), "id long, hash long, fp long", make)
+
+
+def _hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _vectors(positions: list[int], radius: int, seed: int) -> dict[int, int]:
@@ -167,14 +171,27 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 1024) -> DataFrame
     return _linked(small.select("fps").unionByName(large.select("fps")), radius)
 
 
+def _classes(found: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """``(fp, best)`` for every fingerprint: the least row of its component, one with an id before one without."""
+    distinct = found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"))
+    roots = connected_components(links(distinct.select("fp"), radius, bucket))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("least").alias("best")), "root").select("fp", "best")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
     """``(id, fp, component_id)`` for every row of ``docs``; component_id is the least id reachable by links."""
     found = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), radius, bucket))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select("id", "fp", "component_id")
+    return found.join(_classes(found, radius, bucket), "fp", "left").select("id", "fp", F.col("best.id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the one with the least id."""
+    found = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    best = _classes(found, radius, bucket).select("best.id", "best.hash").distinct()
+    hashed = docs.withColumn("_hash", _hash(text_col))
+    kept = hashed.join(best, F.col(id_col).cast("long").eqNullSafe(best.id) & (hashed["_hash"] == best.hash), "left_semi")
+    return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir):

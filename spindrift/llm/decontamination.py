@@ -78,7 +78,8 @@ class Items:
         import ahocorasick
 
         self.budget = [int(self.rate * len(t)) if len(t) >= self.least else 0 for t in self.texts]
-        self.grams = [[t[i : i + GRAM] for i in range(len(t) - GRAM + 1)] for t in self.texts]
+        # side by side, so an edit spoils one of them at most
+        self.grams = [[t[i : i + GRAM] for i in range(0, len(t) - GRAM + 1, GRAM)] for t in self.texts]
         at: dict[str, list[tuple[int, int]]] = {}
         for k, (t, e) in enumerate(zip(self.texts, self.budget, strict=True)):
             cut = [len(t) * j // (e + 1) for j in range(e + 2)]
@@ -106,9 +107,8 @@ class Items:
                 high = min(len(text), place[1] * (e + 1) + e + len(item) + e)
                 window = text[low:high]
                 if e:
-                    have = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
                     grams = self.grams[k]
-                    if sum(g in have for g in grams) < len(grams) - GRAM * e:
+                    if sum(map(window.__contains__, grams)) < len(grams) - e:
                         continue
                     distance, end = myers(item, window)
                     if distance > e:

@@ -31,10 +31,11 @@ over ``LONGEST`` letters in overlapping windows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,24 +48,33 @@ DECAY = 0.6
 LONGEST = 20
 LETTERS = 32  # codes of letters: 0 the start, 1-26 a-z, 27-31 all others
 REMEMBERED = 400_000
+FLOOR = -0.5
 WHOLE, BEGINS, BEGINS_TWO = 0, 1, 2  # kinds of tokens counted
 #: Characters read as letters within a word that has letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
+MARKS = "!.,;:?\"'()[]"
+_LOOKS = str.maketrans(LOOKALIKES)
+_HAS_LOOKS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
+_HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
 def folded(word: str) -> str:
     """The word's letters, lower case, without accents."""
-    word = word.lower()
-    if not (word.isascii() and word.isalpha()):
-        core = word.strip("!.,;:?\"'()[]")
-        if any(c.isalpha() for c in core) and any(c in LOOKALIKES for c in core):
-            word = "".join(LOOKALIKES.get(c, c) for c in core)
-        word = "".join(c for c in unicodedata.normalize("NFD", word) if c.isalpha())
-    return word
+    word = word.lower().strip(MARKS)
+    if word.isascii() and word.isalpha():
+        return word
+    if _HAS_LOOKS.search(word) and _HAS_LETTER.search(word):
+        word = word.translate(_LOOKS)
+    return "".join(filter(str.isalpha, word if word.isascii() else unicodedata.normalize("NFD", word)))
 
 
-def codes(word: str) -> np.ndarray:
-    return np.array([0, *(c - 96 if 97 <= c <= 122 else 27 + c % 5 for c in map(ord, word))], dtype=np.int32)
+def codes(words: list[str]) -> np.ndarray:
+    """Rows of letter codes, behind the start, of words of one length."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.int64)
+    letters = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 5)
+    return np.concatenate([np.zeros((len(words), 1), dtype=np.int64), letters], axis=1)
 
 
 def windows(word: str) -> list[str]:
@@ -107,29 +117,43 @@ def norms(numbers: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def by_length(words: list[str]):
-    """``(positions, numbers, weight, norms)`` for the words of each length."""
+    """``(positions, numbers, weight)`` for the words of each length."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.nonzero(lengths == n)[0]
         for k in range(0, len(at), 2048):
             part = at[k : k + 2048]
-            numbers, weight = subsequences(np.stack([codes(words[i]) for i in part]))
-            yield part, numbers, weight, norms(numbers, weight)
-
-
-def against(table: np.ndarray, words: list[str]) -> np.ndarray:
-    """Normalised product of each word with a table of weights by subsequence."""
-    out = np.zeros(len(words))
-    for at, numbers, weight, norm in by_length(words):
-        out[at] = (table[numbers] * weight).sum(axis=1) / norm
+            numbers, weight = subsequences(codes([words[i] for i in part]))
+            yield part, numbers, weight
+
+
+def against(table: np.ndarray, words: list[str], least: float | None = None) -> np.ndarray:
+    """Normalised product of each word with a table of weights by subsequence.
+
+    With ``least``, products that can't exceed it are given as ``least``: the
+    norm of a word is at least that of one whose subsequences all differ, which
+    depends on its length alone, so most words need no norm of their own.
+    """
+    out = np.zeros(len(words)) if least is None else np.full(len(words), least)
+    for at, numbers, weight in by_length(words):
+        product = (table[numbers] * weight).sum(axis=1)
+        if least is not None:
+            bound = np.sqrt((weight.astype(np.float64) ** 2).sum())
+            near = product > least * bound if least > 0 else np.ones(len(at), dtype=bool)
+            if not near.any():
+                continue
+            at, numbers, product = at[near], numbers[near], product[near]
+            out[at] = np.maximum(product / norms(numbers, weight), least)
+        else:
+            out[at] = product / norms(numbers, weight)
     return out
 
 
 def as_table(words: list[str], amounts: np.ndarray) -> np.ndarray:
     """The weighted sum of the words' normalised kernel vectors."""
     table = np.zeros(LETTERS**ORDER)
-    for at, numbers, weight, norm in by_length(words):
-        np.add.at(table, numbers, weight * (amounts[at] / norm)[:, None])
+    for at, numbers, weight in by_length(words):
+        np.add.at(table, numbers, weight * (amounts[at] / norms(numbers, weight))[:, None])
     return table.astype(np.float32)
 
 
@@ -171,49 +195,55 @@ class Model:
     logistic: np.ndarray
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class Margins:
-    """Margins of words, and features of texts; remembers the words it has seen."""
+    """Margins of words, and features of texts; remembers the words it has seen.
+
+    Margins below ``FLOOR`` count as it.
+    """
 
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table, bias
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.margin = np.zeros(0)
-        self.single: list[bool] = []
+        self.single = np.zeros(0, dtype=bool)
 
     def _of(self, words: list[str]) -> np.ndarray:
         parts = [(k, p) for k, w in enumerate(words) for p in windows(w) if len(p) + 1 >= ORDER]
-        out = np.full(len(words), min(self.bias, -1.0))
+        out = np.full(len(words), FLOOR)
         if parts:
             at, strings = zip(*parts, strict=True)
-            np.maximum.at(out, list(at), against(self.table, list(strings)) + self.bias)
+            np.maximum.at(out, list(at), against(self.table, list(strings), FLOOR - self.bias) + self.bias)
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Largest margin, log count and log rate of positive ones, and 1, of each text."""
-        if len(self.single) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self.__init__(self.table, self.bias)
-        number, new, lists = self.number, [], []
+        number, known = self.number.__getitem__, len(self.number)
+        lists = []
         for text in texts:
             words = text.lower().split() if text else []
-            ids = []
-            for w in words:
-                k = number.get(w)
-                if k is None:
-                    number[w] = k = len(self.single)
-                    self.single.append(len(w) == 1)
-                    new.append(w)
-                ids.append(k)
-            lists.append(np.array(ids, dtype=np.int64))
+            lists.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
         if new:
             self.margin = np.concatenate([self.margin, self._of([folded(w) for w in new])])
-        single = np.array(self.single, dtype=bool)
+            self.single = np.concatenate([self.single, np.array([len(w) == 1 for w in new])])
         out = np.zeros((len(texts), 4))
         for k, ids in enumerate(lists):
             margins = self.margin[ids]
-            if len(ids) and (spaced := single[ids]).sum() >= 3 and len(joined := _joined(texts[k].lower().split(), spaced)):
+            spaced = self.single[ids]
+            if np.count_nonzero(spaced) >= 3 and (spaced[2:] & spaced[1:-1] & spaced[:-2]).any() and len(joined := _joined(texts[k].lower().split(), spaced)):
                 margins = np.concatenate([margins, self._of(joined)])
-            hits = int((margins > 0).sum())
-            out[k] = max(margins.max(initial=-1.0), -1.0), np.log1p(hits), np.log1p(1000 * hits / max(len(ids), 20)), 1.0
+            hits = int(np.count_nonzero(margins > 0))
+            out[k] = margins.max(initial=FLOOR), np.log1p(hits), np.log1p(1000 * hits / max(len(ids), 20)), 1.0
         return out
 
 

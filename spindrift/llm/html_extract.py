@@ -188,15 +188,18 @@ def token_table(pages: DataFrame) -> DataFrame:
     return by_batch(pages, "host string, token long, signature long, support long", make).groupBy("host", "token").agg(F.bit_xor("signature").alias("signature"), F.sum("support").alias("support"))
 
 
-def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.8, least_tokens: int = 2) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.8, least_tokens: int = 2, broadcast_hosts: int = 200_000) -> DataFrame:
     """``(host, tokens, classes)``: the template tokens of each host with the class of each.
 
     A token of at least ``share`` of the pages is in the template; so a host's
-    list is no longer than 1 / share times the tokens of a page.
+    list is no longer than 1 / share times the tokens of a page.  Up to
+    ``broadcast_hosts`` hosts are broadcast, so a large one's tokens stay where
+    they are; more are joined, and large ones split.
     """
     table = written(token_table(pages), "tokens")
     hosts = table.where("token = 0").select("host", F.col("support").alias("pages")).where(F.col("pages") >= least_pages)
-    frequent = table.where("token <> 0").join(hosts, "host").where(F.col("support") >= share * F.col("pages"))
+    # what too few pages have is in no template: most tokens go before they meet their host
+    frequent = table.where((F.col("token") != 0) & (F.col("support") >= share * least_pages)).join(F.broadcast(hosts) if hosts.count() <= broadcast_hosts else hosts, "host").where(F.col("support") >= share * F.col("pages"))
     members = frequent.groupBy("host", "signature", "support").agg(F.count("*").alias("n"), F.collect_list("token").alias("tokens"))
     return members.where(F.col("n") >= least_tokens).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list(F.array_repeat("signature", F.col("n").cast("int")))).alias("classes"))
 

@@ -31,6 +31,7 @@ over ``LONGEST`` letters in overlapping windows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -38,10 +39,10 @@ from dataclasses import dataclass
 from itertools import combinations, islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, crc32_mod, spread
+from .common import by_batch, crc32_mod, discard, spread, written
 
 ORDER = 4
 DECAY = 0.6
@@ -61,13 +62,15 @@ _HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def folded(word: str) -> str:
-    """The word's letters, lower case, without accents."""
+    """The word's letters, lower case, accents as letters of their own behind the letter."""
     word = word.lower().strip(MARKS)
     if word.isascii() and word.isalpha():
         return word
     if _HAS_LOOKS.search(word) and _HAS_LETTER.search(word):
         word = word.translate(_LOOKS)
-    return "".join(filter(str.isalpha, word if word.isascii() else unicodedata.normalize("NFD", word)))
+    if word.isascii():
+        return "".join(filter(str.isalpha, word))
+    return "".join(c for c in unicodedata.normalize("NFD", word) if c.isalpha() or "\u0300" <= c < "\u0370")
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -260,6 +263,35 @@ def _joined(words: list[str], single: np.ndarray) -> list[str]:
     return out
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample less near copies, whose words would else count once for each copy.
+
+    Texts of one label with an equal minimum of either of two hashes over their
+    shingles of five words count as copies.
+    """
+
+    def make():
+        import xxhash
+
+        def run(batch):
+            low: list[list[int]] = [[], []]
+            for text in batch.column(2).to_pylist():
+                words = (text or "").lower().split()
+                shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+                for seed in (0, 1):
+                    low[seed].append(min(xxhash.xxh64_intdigest(s, seed) for s in shingles) >> 1)
+            return {"id": batch.column(0), "label": batch.column(1), "text": batch.column(2), "low0": low[0], "low1": low[1]}
+
+        return run
+
+    marked = by_batch(sample.select("id", "label", "text"), "id long, label int, text string, low0 long, low1 long", make)
+    firsts = marked
+    for low in ("low0", "low1"):
+        w = Window.partitionBy("label", low).orderBy("id")
+        firsts = firsts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return written(firsts.select("id", "label", "text"), "singles")
+
+
 def _token_counts(sample: DataFrame) -> DataFrame:
     """``(token, kind, c1, c0)``: texts of either label with a word, with a word that begins so, or with two such words."""
 
@@ -284,10 +316,8 @@ def _token_counts(sample: DataFrame) -> DataFrame:
     return by_batch(sample.select("label", "text"), "token string, kind int, c1 long, c0 long", make).groupBy("token", "kind").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1_500, strings: int = 4_000, landmarks: int = 240, significance: float = 16.0, lift: float = 8.0, seed: int = 29) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1_500, strings: int = 4_000, landmarks: int = 240, significance: float | None = None, lift: float = 8.0, seed: int = 29) -> Model | None:
     """A model from the labelled rows of ``docs``; None where either label is missing or no word tells them apart."""
-    from .common import discard, written
-
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     have = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     if not have.get(1) or not have.get(0):
@@ -295,6 +325,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     share = F.when(F.col("label") == 1, per_class / have[1]).otherwise(2 * per_class / have[0])
     chosen = marked.where(spread(F.col("id").cast("string"), seed) < share)  # about 3 * per_class rows
     sample = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text"), "labelled")
+    sample = one_of_copies(sample)
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -302,12 +333,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     tokens = written(_token_counts(sample), "tokens")
     c1, c0 = F.col("c1").cast("double"), F.col("c0").cast("double")
     both = c1 + c0
+    least = max(16.0, 2 * math.log(max(tokens.count(), 1)) - 4) if significance is None else significance
     ratio = 2 * (c1 * F.log(c1 * (n1 + n0) / (both * n1)) + F.when(c0 > 0, c0 * F.log(c0 * (n1 + n0) / (both * n0))).otherwise(0.0))
-    telling = tokens.where((c1 >= 4) & (c1 / n1 >= lift * c0 / n0)).withColumn("g", ratio).where(F.col("g") > significance).orderBy(F.desc("g"), "token").limit(500).collect()
+    telling = tokens.where((c1 >= 4) & (c1 / n1 >= lift * c0 / n0)).withColumn("g", ratio).where(F.col("g") > least).orderBy(F.desc("g"), "token").limit(500).collect()
     if not telling:
         return None
-    starts = sorted({r["token"] for r in telling if r["kind"] != WHOLE})
-    wholes = {r["token"] for r in telling if r["kind"] == WHOLE}
+    wholes = {r["token"]: r["c1"] for r in telling if r["kind"] == WHOLE}
+    # a beginning that one whole word accounts for says nothing of others that begin so
+    starts = sorted({r["token"] for r in telling if r["kind"] != WHOLE and not any(w.startswith(r["token"]) and c >= 0.7 * r["c1"] for w, c in wholes.items())})
     clean_words = tokens.where(F.col("kind") == WHOLE)
     is_toxic = F.col("token").isin(sorted(wholes))
     if starts:

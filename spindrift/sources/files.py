@@ -118,3 +118,57 @@ def decoded_lines(stream: io.BufferedIOBase) -> Iterator[str]:
 def lines_of(path: str, gz: bool = False) -> Iterator[str]:
     with open(path, "rb") as raw:
         yield from decoded_lines(gzip.GzipFile(fileobj=raw) if gz else raw)
+
+
+# -- parts of large files ----------------------------------------------------------
+
+BLOCK = 8 << 20
+
+
+def splittable(file: LogFile) -> bool:
+    """Plain files of UTF-8 text can be read in parts."""
+    if file.gz:
+        return False
+    with open(file.path, "rb") as raw:
+        return raw.read(2) not in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
+
+
+def line_feeds(path: str, start: int, end: int) -> int:
+    """Line feeds among the bytes ``[start, end)``."""
+    n = 0
+    with open(path, "rb") as raw:
+        raw.seek(start)
+        while start < end and (block := raw.read(min(BLOCK, end - start))):
+            n += block.count(b"\n")
+            start += len(block)
+    return n
+
+
+def range_lines(path: str, start: int, end: int, feeds_before: int) -> Iterator[tuple[int, bool, str]]:
+    """Lines that begin at or after ``start``, to the end of the file: number, whether it begins before ``end``, text."""
+    with open(path, "rb") as raw:
+        at, number = start, feeds_before + 1
+        if start:
+            raw.seek(start - 1)
+            skipped = raw.readline()  # the rest of a line that began before, if only its line feed
+            at += len(skipped) - 1
+            number += len(skipped) > 1 and skipped.endswith(b"\n")
+        for line in raw:
+            text = line.removesuffix(b"\n").removesuffix(b"\r")
+            if not at:
+                text = text.removeprefix(codecs.BOM_UTF8)
+            yield number, at < end, text.decode("utf-8", "replace")
+            at += len(line)
+            number += 1
+
+
+def lines_before(path: str, start: int, window: int) -> tuple[list[str], bool]:
+    """Whole lines among the ``window`` bytes before a position, and whether they reach the file's beginning."""
+    begin = max(0, start - window)
+    with open(path, "rb") as raw:
+        raw.seek(begin)
+        data = raw.read(start - begin)
+    if begin:
+        data = data.partition(b"\n")[2]
+    # a line that goes on past the position belongs to the part before
+    return [x.removesuffix(b"\r").decode("utf-8", "replace") for x in data.split(b"\n")], begin == 0

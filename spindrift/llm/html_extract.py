@@ -49,7 +49,7 @@ MAIN = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LEFT_OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|aside|widget\w*|nav\w*|menu\w*|breadcrumbs?|toolbar|topbar|masthead|header|footer|foot|copyright|legal|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|tags?|meta|byline|skip|search\w*)(?:$|[\s_-])",
+    r"(?:^|[\s_]|(?<!has)(?<!no)(?<!with)(?<!without)-)(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|aside|widget\w*|nav\w*|menu\w*|breadcrumbs?|toolbar|topbar|masthead|header|footer|foot|copyright|legal|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|tags?|meta|byline|skip|search\w*)(?:$|[\s_-])",
     re.I,
 )
 LEFT_OUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -79,8 +79,8 @@ def _attributes(source: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def parse(source: str) -> Page:
-    """Tokens and texts of a page, in order."""
+def parse(source: str, by_class: bool = True) -> Page:
+    """Tokens and texts of a page, in order; with ``by_class`` elements are also left out by their class or id."""
     page = Page()
     stack: list[tuple[str, str, bool, int]] = []  # name, step of the path, left out, number of the main element
     block, mains, at, links = 0, 0, 0, 0
@@ -136,7 +136,7 @@ def parse(source: str) -> Page:
         main = above[3]
         out = above[2] or "hidden" in attributes or attributes.get("role", "").lower() in LEFT_OUT_ROLE or "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true"
         if not out and name not in ("html", "body"):
-            out = (name in LEFT_OUT and not (name == "header" and main)) or not inline and bool(marks.strip()) and bool(LEFT_OUT_CLASS.search(marks)) and name not in MAIN or name in MAIN and bool(re.search(r"comment|reply|teaser|related", marks, re.I))
+            out = (name in LEFT_OUT and not (name == "header" and main)) or by_class and not inline and bool(marks.strip()) and bool(LEFT_OUT_CLASS.search(marks)) and name not in MAIN or name in MAIN and bool(re.search(r"comment|reply|teaser|related", marks, re.I))
         if not out and (name in MAIN or attributes.get("role", "").lower() == "main") and not main:
             mains += 1
             main = mains
@@ -235,10 +235,14 @@ def _joined(texts: list[Text]) -> list[str]:
 def extract(source: str | None, template: dict[int, int] | None = None) -> str:
     """The main text of a page."""
     page = parse(source or "")
+    solid = [t for t in page.texts if t.words.strip() and not t.out]
+    if not solid:
+        # a class that reads like a side matter's stands around everything
+        page = parse(source or "", by_class=False)
+        solid = [t for t in page.texts if t.words.strip() and not t.out]
     fixed = valid_tokens(page, template) if template else [False] * len(page.tokens)
     before = np.concatenate([[0], np.cumsum(fixed)])
     texts = [t for t in page.texts if not t.out]
-    solid = [t for t in texts if t.words.strip()]
     if not solid:
         return ""
 

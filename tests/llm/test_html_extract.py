@@ -72,6 +72,8 @@ def test_odd_pages(spark):
         "<article>" + "<p>long one</p>" * 50000: "\n".join(["long one"] * 50000),
         "<div hidden>no</div><p>yes</p><style>p{}</style><!-- <p>no</p> --><script>'</p>'": "yes",
         "a < b and <b>c</b>": "a < b and c",
+        "<div class='content has-sidebar'><p>the text</p></div><div class='left-sidebar'>no</div>": "the text",
+        "<div id='search-results'><p>a whole page in a box that sounds like something else</p></div>": "a whole page in a box that sounds like something else",
     }
     rows = [(k, None, h, k) for k, h in enumerate(cases)] + [(None, "x", "<p>yes</p>", 1), (2, None, "plain words only", 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

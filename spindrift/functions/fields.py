@@ -37,6 +37,32 @@ def logfmt_fields(line: Column) -> Column:
     return F.when(F.instr(line, "=") > 0, found).otherwise(empty_pairs())
 
 
+def logfmt_value(line: Column, name: str) -> Column:
+    """The last value under one key, or null, without an array where the line has no quotes."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        return F.lit(None).cast("string")
+    key = re.escape(name)
+    plain = F.when(line.rlike(rf"(?s)(?:\A| ){key}="), F.regexp_extract(line, rf"(?s)\A(?:.* )?{key}=([^ ]*)", 1))
+    return F.when(line.contains('"'), lookup(logfmt_fields(line), name)).otherwise(plain)
+
+
+def regexp_value(message: Column, pattern: str, name: str) -> Column:
+    """One named group of the first match, or null if it took no part."""
+    made = translate(pattern)
+    if name not in made.groups:
+        return F.lit(None).cast("string")
+    n = made.groups[name]
+    value = F.regexp_extract(message, made.java, n)
+    return F.when(message.rlike(made.java) & _present(message, made, pattern, n, value), value)
+
+
+def _present(message: Column, made, pattern: str, n: int, value: Column) -> Column:
+    # an empty group may not have taken part; a back-reference to it then fails
+    if _always_takes_part(pattern):
+        return F.lit(True)
+    return (value != "") | message.rlike(f"{PREFIX}(?:{made.java[len(PREFIX) :]})\\{n}")
+
+
 def regexp_fields(message: Column, pattern: str) -> Column:
     """Named groups of the first match; groups that took no part are left out."""
     made = translate(pattern)
@@ -46,8 +72,7 @@ def regexp_fields(message: Column, pattern: str) -> Column:
     for name in names:
         n = made.groups[name]
         value = F.regexp_extract(message, made.java, n)
-        # an empty group may not have taken part; a back-reference to it then fails
-        present = F.lit(True) if _always_takes_part(pattern) else (value != "") | message.rlike(f"{PREFIX}(?:{made.java[len(PREFIX) :]})\\{n}")
+        present = _present(message, made, pattern, n, value)
         pairs.append(F.when(hit & present, F.struct(F.lit(name).alias("name"), value.alias("value"))))
     return F.when(hit, F.filter(F.array(*pairs), lambda p: p.isNotNull())).otherwise(empty_pairs())
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lang.units import BYTE_UNITS, BYTES, DURATION, DURATION_UNITS, NUMBER, UNSIGNED
+from ..lang.units import BYTE_UNITS, BYTES, DURATION, DURATION_PART, DURATION_UNITS, NUMBER, UNSIGNED
 
 #: Levels in order, and the words that are read as each.
 LEVELS = ("trace", "debug", "info", "warn", "error", "fatal", "unknown")
@@ -21,12 +21,13 @@ LEVEL_WORDS = {
     "error": ("ERROR", "ERR", "SEVERE"),
     "fatal": ("FATAL", "CRITICAL", "CRIT", "ALERT", "EMERG", "PANIC"),
 }
-_BLANK = r"(?U)\A\s+|\s+\z"
+#: Unicode white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space around it (only texts that have some pay for the pattern)."""
-    return F.when(text.rlike(_BLANK), F.regexp_replace(text, _BLANK, "")).otherwise(text)
+    """Without white space around it."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def level_of(text: Column) -> Column:
@@ -56,7 +57,9 @@ def duration_of(text: Column) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(word, part, F.lit(1)).alias("n"), F.regexp_extract_all(word, part, F.lit(2)).alias("u"))
     factors = F.create_map(*[F.lit(x) for pair in DURATION_UNITS.items() for x in pair])
     total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["n"].cast("double") * F.element_at(factors, p["u"]))
-    return F.when(word.rlike(rf"\A{DURATION}\z"), total).otherwise(number_of(word) * 1000.0)
+    # one number with its unit is the common case and needs no array
+    single = F.regexp_extract(word, rf"\A{DURATION_PART}\z", 1).cast("double") * F.element_at(factors, F.regexp_extract(word, rf"\A{DURATION_PART}\z", 2))
+    return F.when(word.rlike(rf"\A{DURATION_PART}\z"), single).when(word.rlike(rf"\A{DURATION}\z"), total).otherwise(number_of(word) * 1000.0)
 
 
 def bytes_of(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..lang import syntax as ast
-from ..plans.compiler import search
+from ..plans.compiler import search, with_parsed
 
 DEFAULT_LIMIT, MOST = 500, 10_000
 
@@ -53,7 +53,8 @@ def page_of(events: DataFrame, query: ast.Query | str = "", *, start: int | None
     """The page's rows in order (``extra`` more than the limit)."""
     if after is not None:
         events = events.where(beyond(Key(*after), forward))
-    return search(events, query, True, start, end).orderBy(*order(forward)).limit(clamped(limit) + extra)
+    found = search(events, query, False, start, end).orderBy(*order(forward)).limit(clamped(limit) + extra)
+    return with_parsed(found, query)
 
 
 def rows(events: DataFrame, query: ast.Query | str = "", **request) -> Page:

@@ -4,9 +4,10 @@ Events have the columns ``ts level source file file_idx line_no logger thread
 exception fields message ts_inferred``.  Stream labels and ``level`` become plain
 column predicates, so partition pruning and Parquet statistics apply; line
 filters and typed comparisons are built-in expressions.  Only ``| json`` runs an
-Arrow function, and only over rows that the filters before it kept; where the
-extracted fields are not shown, it is asked for just the fields that later
-filters read, and parser stages that no filter reads are left out.
+Arrow function, over rows that the filters before it kept, and only for the
+fields that later filters read; parser stages that no filter reads are left
+out.  What is shown of the extracted fields is extracted at the very end, on the
+rows that are returned.
 """
 
 from __future__ import annotations
@@ -82,14 +83,36 @@ def line_filter(stage: ast.Line) -> Column:
     return ~hit if stage.op in ("!=", "!~") else hit
 
 
-def field_value(name: str, extracted: Column | None) -> Column:
+class Extracted:
+    """The fields of the parser stages so far: a value for each name that a filter reads.
+
+    A later stage's value comes before an earlier one's.  ``json`` stages keep
+    their fields in a column, so the Arrow function runs once.
+    """
+
+    def __init__(self):
+        self.stages: list[tuple[ast.Stage, str | None]] = []
+
+    def value(self, name: str) -> Column | None:
+        found = []
+        for stage, column in reversed(self.stages):
+            if isinstance(stage, ast.Json):
+                found.append(fx.lookup(F.col(column), name))
+            elif isinstance(stage, ast.Logfmt):
+                found.append(fx.logfmt_value(vx.first_line(F.col("message")), name))
+            elif name in translate(stage.pattern).groups:
+                found.append(fx.regexp_value(F.col("message"), stage.pattern, name))
+        return F.coalesce(*found) if found else None
+
+
+def field_value(name: str, extracted: Extracted) -> Column:
     """Extracted fields come first, then the core columns, then what ingest stored; missing is empty."""
-    found = [fx.lookup(extracted, name)] if extracted is not None else []
-    found.append(F.col(name) if name in CORE else stored_field(name))
-    return F.coalesce(*found, F.lit(""))
+    own = extracted.value(name)
+    stored = F.col(name) if name in CORE else stored_field(name)
+    return F.coalesce(*([own] if own is not None else []), stored, F.lit(""))
 
 
-def condition(e: ast.Expression, extracted: Column | None) -> Column:
+def condition(e: ast.Expression, extracted: Extracted) -> Column:
     """A boolean that is never null."""
     if isinstance(e, ast.Both):
         return condition(e.left, extracted) & condition(e.right, extracted)
@@ -99,9 +122,8 @@ def condition(e: ast.Expression, extracted: Column | None) -> Column:
     if kind == "string":
         if e.name != "level":
             return text_test(field_value(e.name, extracted), e.op, literal)
-        own = F.col("level")
-        if extracted is not None:
-            named = fx.lookup(extracted, "level")
+        own, named = F.col("level"), extracted.value("level")
+        if named is not None:
             own = F.when(named.isNotNull(), vx.level_of(named)).otherwise(own)
         return text_test(own, e.op, literal, fold=True)
     reading = {"number": vx.number_of, "duration": vx.duration_of, "bytes": vx.bytes_of}[kind]
@@ -112,23 +134,9 @@ def names_read(e: ast.Expression) -> set[str]:
     return {e.name} if isinstance(e, ast.Compare) else names_read(e.left) | names_read(e.right)
 
 
-def _needed(stages: tuple[ast.Stage, ...]) -> list[set[str]]:
-    """For each stage, the names that filters after it read."""
-    out, later = [], set()
-    for stage in reversed(stages):
-        out.append(set(later))
-        if isinstance(stage, ast.Filter):
-            later |= names_read(stage.expression)
-    return out[::-1]
-
-
-def _extract(stage: ast.Stage, names: frozenset[str] | None) -> Column:
-    message = F.col("message")
-    if isinstance(stage, ast.Json):
-        return fx.json_fields(message, names)
-    if isinstance(stage, ast.Logfmt):
-        return fx.logfmt_fields(vx.first_line(message))
-    return fx.regexp_fields(message, stage.pattern)
+def _read_later(stages: tuple[ast.Stage, ...], at: int) -> frozenset[str]:
+    """Names that filters after a stage read."""
+    return frozenset().union(*(names_read(s.expression) for s in stages[at + 1 :] if isinstance(s, ast.Filter)))
 
 
 def search(events: DataFrame, query: ast.Query | str, show_parsed: bool = True, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -145,16 +153,33 @@ def search(events: DataFrame, query: ast.Query | str, show_parsed: bool = True,
         out = out.where(F.col("ts") < end)
     for m in query.selector:
         out = out.where(matcher(m))
-    extracted: Column | None = None
-    for stage, needed in zip(query.stages, _needed(query.stages), strict=True):
+    extracted = Extracted()
+    for k, stage in enumerate(query.stages):
         if isinstance(stage, ast.Line):
             out = out.where(line_filter(stage))
         elif isinstance(stage, ast.Filter):
             out = out.where(condition(stage.expression, extracted))
-        elif show_parsed or needed:
-            new = _extract(stage, None if show_parsed else frozenset(needed))
-            out = out.withColumn(PARSED, new if extracted is None else F.concat(PARSED, new))
-            extracted = F.col(PARSED)
-    if show_parsed:
-        return out.withColumn(PARSED, fx.empty_pairs() if extracted is None else fx.last_of_each(extracted))
-    return out.select(*events.columns)
+        elif later := _read_later(query.stages, k):
+            column = f"_json_{k}" if isinstance(stage, ast.Json) else None
+            if column:
+                out = out.withColumn(column, fx.json_fields(F.col("message"), later))
+            extracted.stages.append((stage, column))
+    kept = out.select(*events.columns)
+    return with_parsed(kept, query) if show_parsed else kept
+
+
+def with_parsed(matches: DataFrame, query: ast.Query | str) -> DataFrame:
+    """Events with ``parsed``: what the query's parser stages extract from each."""
+    query = parse(query) if isinstance(query, str) else query
+    message = F.col("message")
+    found, names = [], []
+    for k, stage in enumerate(query.stages):
+        if isinstance(stage, ast.Json):
+            names.append(f"_json_{k}")
+            matches = matches.withColumn(names[-1], fx.json_fields(message))
+            found.append(F.col(names[-1]))
+        elif isinstance(stage, ast.Logfmt):
+            found.append(fx.logfmt_fields(vx.first_line(message)))
+        elif isinstance(stage, ast.Regexp):
+            found.append(fx.regexp_fields(message, stage.pattern))
+    return matches.withColumn(PARSED, fx.last_of_each(F.concat(*found)) if found else fx.empty_pairs()).drop(*names)

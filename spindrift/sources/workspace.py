@@ -16,6 +16,7 @@ import shutil
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,12 +133,18 @@ class Workspace:
         writer = events.sortWithinPartitions("level", "ts").write.partitionBy("level")
         for c in BLOOM:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.parquet(os.path.join(into, "log_events"))
-        facets.field_values(events).coalesce(1).write.parquet(os.path.join(into, "field_values"))
-        facets.stream_values(events).coalesce(1).write.parquet(os.path.join(into, "streams"))
-        errors |= {r["file"]: r["error"] for r in raw.where(F.col("error").isNotNull()).select("file", "error").collect()}
-        counted = {r["file"]: r["n"] for r in events.groupBy("file").agg(F.count("*").alias("n")).collect()}
-        n, low, high = events.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+        jobs = (
+            lambda: writer.parquet(os.path.join(into, "log_events")),
+            lambda: facets.field_values(events).coalesce(1).write.parquet(os.path.join(into, "field_values")),
+            lambda: facets.stream_values(events).coalesce(1).write.parquet(os.path.join(into, "streams")),
+            lambda: raw.groupBy("file").agg(F.count("ts").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("error").alias("error")).collect(),
+        )
+        with ThreadPoolExecutor(len(jobs)) as pool:  # independent jobs over one table
+            *_, by_file = [f.result() for f in [pool.submit(j) for j in jobs]]
+        errors |= {r["file"]: r["error"] for r in by_file if r["error"]}
+        counted = {r["file"]: r["n"] for r in by_file}
+        n = sum(counted.values())
+        low, high = (min(r["low"] for r in by_file if r["n"]), max(r["high"] for r in by_file if r["n"])) if n else (None, None)
         shutil.rmtree(everything)
         meta = {
             "version": VERSION,

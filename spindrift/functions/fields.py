@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lang.dialect import PREFIX, translate
-from .values import first_line
+from .values import first_line, once
 
 PAIRS = "array<struct<name:string,value:string>>"
 _PAIRS_ARROW = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
@@ -38,12 +38,14 @@ def logfmt_fields(line: Column) -> Column:
 
 
 def logfmt_value(line: Column, name: str) -> Column:
-    """The last value under one key, or null, without an array where the line has no quotes."""
+    """The last value under one key, or null, without an array where no value is quoted."""
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
         return F.lit(None).cast("string")
     key = re.escape(name)
-    plain = F.when(line.rlike(rf"(?s)(?:\A| ){key}="), F.regexp_extract(line, rf"(?s)\A(?:.* )?{key}=([^ ]*)", 1))
-    return F.when(line.contains('"'), lookup(logfmt_fields(line), name)).otherwise(plain)
+    # the key comes along, so that an empty value differs from none
+    pair = lambda x: F.regexp_extract(x, rf"(?s)\A(?:.* )?({key}=[^ ]*)", 1)
+    value = lambda x: once(pair(x), lambda p: F.when(p != "", F.substring(p, len(name) + 2, 1 << 30)))
+    return once(line, lambda x: F.when(x.contains('="'), lookup(logfmt_fields(x), name)).otherwise(value(x)))
 
 
 def regexp_value(message: Column, pattern: str, name: str) -> Column:

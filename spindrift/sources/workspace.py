@@ -248,6 +248,12 @@ def _saved(folder: str) -> dict | None:
     return meta if meta.get("version") == VERSION else None
 
 
+def saved_settings(data_dir: str, root: str) -> FolderSettings:
+    """What a folder was last opened with."""
+    saved = _saved(workspace_folder(data_dir, os.path.realpath(root)))
+    return FolderSettings.of(saved["settings"]) if saved else FolderSettings()
+
+
 def _fresh(meta: dict, files: list[LogFile], settings: FolderSettings) -> bool:
     known = [(f["rel"], f["size"], f["mtime_ms"]) for f in meta["files"]]
     return meta["settings"] == settings.as_dict() and known == [(f.rel, f.size, f.mtime_ms) for f in files]

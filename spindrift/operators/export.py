@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..lang import syntax as ast
@@ -61,8 +61,7 @@ def write(events: DataFrame, query: ast.Query | str, folder: str, kind: str = "c
     The files of a range-partitioned sort are in order, so no task gets more
     than its range; ``single_file`` gathers them in one (for small results).
     """
-    observed_total = search(events, query, False, start, end).count()
-    ordered = lines(events, query, kind, start, end).orderBy(*order(forward))
-    out = ordered.select("export")
+    counted = Observation()
+    out = lines(events, query, kind, start, end).orderBy(*order(forward)).select("export").observe(counted, F.count(F.lit(1)).alias("n"))
     (out.coalesce(1) if single_file else out).write.mode("overwrite").text(folder)
-    return observed_total
+    return counted.get["n"]

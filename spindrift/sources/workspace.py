@@ -26,7 +26,7 @@ from ..lang import syntax as ast
 from ..operators import export as ex
 from ..operators import facets, histogram, pages
 from ..plans.compiler import EVENT_SCHEMA, search
-from .datasource import context_of, events_only, read_events
+from .datasource import RAW_SCHEMA, context_of, read_events
 from .dates import Zone
 from .events import Detection, Event, Format, assemble, detect
 from .files import LogFile, discover, lines_of
@@ -34,6 +34,7 @@ from .layout import compile_layout
 
 VERSION = 1
 SAMPLE = 200
+ERRORS = "-"  # the level under which rows about unreadable files are stored
 #: Stored columns that get a Bloom filter, for exact matchers.
 BLOOM = ("logger", "thread", "exception", "source", "file")
 
@@ -125,19 +126,17 @@ class Workspace:
         progress.phase = "indexing"
         generation = uuid.uuid4().hex
         into = os.path.join(folder, generation)
-        raw = read_events(spark, files, formats, settings.zone)
-        everything = os.path.join(into, "raw")
-        raw.write.parquet(everything)  # each file is parsed once
-        raw = spark.read.schema(raw.schema).parquet(everything)
-        events = events_only(raw)
-        writer = events.sortWithinPartitions("level", "ts").write.partitionBy("level")
+        stored = read_events(spark, files, formats, settings.zone).withColumn("level", F.coalesce("level", F.lit(ERRORS)))
+        writer = stored.sortWithinPartitions("level", "ts").write.partitionBy("level")
         for c in BLOOM:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(os.path.join(into, "log_events"))  # each file is read once
+        stored = spark.read.schema(RAW_SCHEMA).parquet(os.path.join(into, "log_events"))
+        events = stored.where(F.col("level") != ERRORS)
         jobs = (
-            lambda: writer.parquet(os.path.join(into, "log_events")),
             lambda: facets.field_values(events).coalesce(1).write.parquet(os.path.join(into, "field_values")),
             lambda: facets.stream_values(events).coalesce(1).write.parquet(os.path.join(into, "streams")),
-            lambda: raw.groupBy("file").agg(F.count("ts").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("error").alias("error")).collect(),
+            lambda: stored.groupBy("file").agg(F.count("ts").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("error").alias("error")).collect(),
         )
         with ThreadPoolExecutor(len(jobs)) as pool:  # independent jobs over one table
             *_, by_file = [f.result() for f in [pool.submit(j) for j in jobs]]
@@ -145,7 +144,6 @@ class Workspace:
         counted = {r["file"]: r["n"] for r in by_file}
         n = sum(counted.values())
         low, high = (min(r["low"] for r in by_file if r["n"]), max(r["high"] for r in by_file if r["n"])) if n else (None, None)
-        shutil.rmtree(everything)
         meta = {
             "version": VERSION,
             "root": root,
@@ -175,7 +173,8 @@ class Workspace:
     def events(self) -> DataFrame:
         if not self.meta["stats"]["events"]:
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        return self.spark.read.schema(EVENT_SCHEMA).parquet(self._table("log_events")).select(*EVENT_SCHEMA.names)
+        stored = self.spark.read.schema(EVENT_SCHEMA).parquet(self._table("log_events"))
+        return stored.where(F.col("level") != ERRORS).select(*EVENT_SCHEMA.names)
 
     @property
     def field_values(self) -> DataFrame:

@@ -71,6 +71,8 @@ def matcher(m: ast.Matcher) -> Column:
     if m.name in STREAM:
         return text_test(F.col(m.name), m.op, m.value, fold=m.name == "level")
     value = F.col(m.name) if m.name in CORE else stored_field(m.name)
+    if m.op == "=" and m.value:
+        return value == F.lit(m.value)  # null doesn't match either; this form reaches the scan
     return text_test(_text(value), m.op, m.value)
 
 

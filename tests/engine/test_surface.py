@@ -59,10 +59,12 @@ def test_plans(spark, tmp_path):
     rows = [(k, ("info", "error")[k % 2], "s", "f", 0, k, "l", "t", "", [("a", "b")], f"m{k}", False) for k in range(20)]
     spark.createDataFrame(rows, EVENT_SCHEMA).write.partitionBy("level").parquet(str(tmp_path / "e"))
     events = spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "e"))
-    plan = search(events, '{level="error"} |= "m1" | logfmt', False, 3, 9).select("ts")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = search(events, '{level="error", logger="l"} |= "m1" | logfmt', False, 3, 9).select("ts")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(level" in plan or "PartitionFilters: [(level" in plan
-    assert "GreaterThanOrEqual(ts,3)" in plan and "StringContains(mess" in plan
-    assert "ReadSchema: struct<ts:bigint,message:string>" in plan and "Exchange" not in plan and "Python" not in plan
+    assert "GreaterThanOrEqual(ts,3)" in plan
+    assert "EqualTo(logger,l)" in plan and "StringContains(message,m1)" in plan
+    assert "ReadSchema: struct<ts:bigint,logger:string,message:string>" in plan and "Exchange" not in plan and "Python" not in plan
 
 
 def test_command_line(spark, tmp_path):

@@ -95,8 +95,10 @@ def parse(source: str, by_class: bool = True) -> Page:
                 text = entities.unescape(m[4])
                 if text:
                     if text.strip():
-                        for word in text.split()[: SHORT + 1]:
-                            page.tokens.append("\x00".join((*path, word)))
+                        words = text.split(None, SHORT)  # the rest stays in one piece
+                        if len(words) <= SHORT:
+                            stem = "\x00".join(path) + "\x00"
+                            page.tokens += [stem + word.rstrip() for word in words]
                     page.texts.append(Text(block, path, text, links > 0, bool(stack) and stack[-1][2], stack[-1][3] if stack else 0, len(page.tokens)))
             continue
         name = name.lower()
@@ -240,16 +242,10 @@ def extract(source: str | None, template: dict[int, int] | None = None) -> str:
         # a class that reads like a side matter's stands around everything
         page = parse(source or "", by_class=False)
         solid = [t for t in page.texts if t.words.strip() and not t.out]
-    fixed = valid_tokens(page, template) if template else [False] * len(page.tokens)
-    before = np.concatenate([[0], np.cumsum(fixed)])
     texts = [t for t in page.texts if not t.out]
     if not solid:
         return ""
 
-    def is_template(t: Text) -> bool:
-        n = len(t.words.split())
-        return n <= SHORT and t.place >= n and bool(before[t.place] - before[t.place - n] == n)
-
     weight: Counter = Counter()
     if any(t.main for t in solid):
         for t in solid:
@@ -257,6 +253,13 @@ def extract(source: str | None, template: dict[int, int] | None = None) -> str:
                 weight[t.main] += len(t.words) if not t.link else 0
         best = max(weight, key=lambda k: (weight[k], -k))
         return "\n".join(_joined([t for t in texts if t.main == best]))
+    fixed = valid_tokens(page, template) if template else [False] * len(page.tokens)
+    before = np.concatenate([[0], np.cumsum(fixed)])
+
+    def is_template(t: Text) -> bool:
+        n = len(t.words.split())
+        return n <= SHORT and t.place >= n and bool(before[t.place] - before[t.place - n] == n)
+
     fill = {id(t) for t in solid if is_template(t)}
     slot_text: Counter = Counter()
     for t in solid:

@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ from .common import by_batch, crc32_mod, spread
 LETTERS = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20
 REMEMBERED = 400_000  # words whose scores a task keeps
+TOGETHER = 500_000  # words that are scored together
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -59,16 +61,60 @@ class Model:
     languages: list[str]
     tables: list[dict[str, np.ndarray]] = field(default_factory=list)
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(len(self.tables) - 1, 0, -1):
-            table = self.tables[n]
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return np.sum(found, axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
+class Scorer:
+    """Scores of words, many at a time; remembers those it has seen."""
+
+    def __init__(self, model: Model):
+        self.width = len(model.languages)
+        self.places = [{token: k for k, token in enumerate(table)} for table in model.tables]
+        self.logs = [np.stack(list(table.values())) if table else np.zeros((0, self.width), np.float32) for table in model.tables]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = _Numbers()
+        self.matrix = np.zeros((0, self.width), dtype=np.float32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def learn_new(self) -> None:
+        """Scores for the words that were numbered since the last time."""
+        new = list(islice(reversed(self.number), len(self.number) - len(self.matrix)))[::-1]
+        if new:
+            self.matrix = np.concatenate([self.matrix, self.scores(new)])
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A known word's log frequencies; else those of its longest n-grams of which any is known, added up."""
+        out = np.zeros((len(words), self.width), dtype=np.float32)
+        whole = np.array([self.places[0].get(w, -1) for w in words], dtype=np.int64)
+        out[whole >= 0] = self.logs[0][whole[whole >= 0]]
+        left = np.nonzero(whole < 0)[0].tolist()
+        for n in range(len(self.places) - 1, 0, -1):
+            place, flat, starts, hit, still = self.places[n], [], [], [], []
+            for k in left:
+                found = [place[g] for g in grams(words[k], n) if g in place]
+                if found:
+                    starts.append(len(flat))
+                    hit.append(k)
+                    flat += found
+                else:
+                    still.append(k)
+            if hit:
+                out[hit] = np.add.reduceat(self.logs[n][flat], starts, axis=0)
+            left = still
+        return out
 
 
 def _counts(sample: DataFrame, longest: int) -> DataFrame:
@@ -127,44 +173,37 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def make():
         model = shared.value
-        width = len(model.languages)
-        number: dict[str, int] = {}
-        scores: list[np.ndarray] = []
-
-        def add(word: str) -> int:
-            number[word] = k = len(scores)
-            scores.append(model.score(word))
-            return k
+        scorer = model.scorer()
 
         def run(batch):
-            if len(scores) > REMEMBERED:
-                number.clear()
-                scores.clear()
-            lang, best = [], []
-            counted = 0
-            matrix = np.zeros((0, width), dtype=np.float32)
-            for text in batch.column(1).to_pylist():
-                total, letters = np.zeros(width), False
-                for words in words_of(text or "") if width else ():
-                    ids = [number[w] if w in number else add(w) for w in words]
-                    if not ids:
-                        continue
-                    letters = True
-                    if len(scores) > len(matrix):
-                        grown = np.zeros((max(2 * len(scores), 1024), width), dtype=np.float32)
-                        grown[:counted] = matrix[:counted]
-                        matrix = grown
-                    if len(scores) > counted:
-                        matrix[counted : len(scores)] = scores[counted:]
-                        counted = len(scores)
-                    total += matrix[ids].sum(axis=0, dtype=np.float64)
-                if not letters:
-                    lang.append("und")
-                    best.append(0.0)
-                    continue
+            texts = batch.column(1).to_pylist()
+            lang, best = ["und"] * len(texts), [0.0] * len(texts)
+            waiting: list[tuple[int, np.ndarray]] = []  # texts whose words have numbers but perhaps no scores yet
+            held = 0
+
+            def settle() -> None:
+                scorer.learn_new()
+                for k, ids in waiting:
+                    total = totals.setdefault(k, np.zeros(scorer.width))
+                    total += scorer.matrix[ids].sum(axis=0, dtype=np.float64)
+                waiting.clear()
+
+            totals: dict[int, np.ndarray] = {}
+            for k, text in enumerate(texts if model.languages else ()):
+                for words in words_of(text or ""):
+                    if words:
+                        waiting.append((k, scorer.numbers(words)))
+                        held += len(words)
+                if held > TOGETHER:
+                    settle()
+                    held = 0
+                    if len(scorer.number) > REMEMBERED:
+                        scorer.forget()
+            settle()
+            for k, total in totals.items():
                 at = int(total.argmax())
-                lang.append(model.languages[at])
-                best.append(float(1 / np.exp(total - total[at]).sum()))
+                lang[k] = model.languages[at]
+                best[k] = float(1 / np.exp(total - total[at]).sum())
             return {"id": batch.column(0), "lang_pred": lang, "score": best}
 
         return run

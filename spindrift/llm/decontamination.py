@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import appended, by_batch
 
 OTHER = re.compile(r"[\W_]+")
-GRAM = 4
+GRAM = 8
 
 
 def normalised(text: str) -> str:

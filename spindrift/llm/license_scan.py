@@ -16,6 +16,8 @@ licences; repeated rows are scanned alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,9 +96,14 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(bare, LEAD, "")
 
 
+def _bare(sentence: str) -> str:
+    """A sentence of the table as ``normalised`` gives it."""
+    return re.sub(LEAD, "", sentence)
+
+
 def identifier(sentence: Column) -> Column:
     """The identifier of a normalised sentence, ``unknown``, or null if it doesn't mention a licence."""
-    known = F.create_map(*[F.lit(x) for name, variants in SENTENCES.items() for v in variants for x in (v, name)])
+    known = F.create_map(*[F.lit(x) for name, variants in SENTENCES.items() for v in variants for x in (_bare(v), name)])
     return F.coalesce(F.try_element_at(known, sentence), F.when(sentence.rlike(MENTION), F.lit("unknown")))
 
 

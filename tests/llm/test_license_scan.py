@@ -39,3 +39,12 @@ def test_plan_has_no_python(spark):
 def test_query_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     same(scan.op10_license_scan(spark, d), d, scan.OP10_SQL)
+
+
+def test_every_sentence_and_every_rule(spark):
+    known = [(name, v) for name, variants in scan.SENTENCES.items() for v in variants]
+    texts = [v.capitalize() + "." for _, v in known] + ["\n".join(scan.SENTENCES[n][0].capitalize() + "." for n in need) for _, need in scan.RULES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in scan.scan(df).collect()}
+    assert [got[k].sentence_ids for k in range(len(known))] == [[name] for name, _ in known]
+    assert [got[len(known) + k].licences for k in range(len(scan.RULES))] == [[licence] for licence, _ in scan.RULES]

@@ -9,6 +9,9 @@ identifiers, with other sentences allowed between them up to ``gap``.
 Identifiers that no rule takes are reported as they are, and sentences that
 mention a licence but are not known as ``unknown``.
 
+Known sentences are found first, whole, across line breaks and inner marks; the
+SQL below cuts at those, so it knows wrapped ones only by their pieces.
+
 The table of sentences and the rules are fixed and small; they stand in the
 plan as literals.  Null and empty texts have no sentences and the empty list of
 licences; repeated rows are scanned alike; extra columns are ignored.
@@ -85,10 +88,27 @@ MENTION = r"licen[cs]e|copyright|redistribut|warrant(y|ies)\b|public domain|perm
 #: What a sentence must hold to be known or to mention a licence; spares the others their normalisation.
 ANCHOR = r"(?i)licen[cs]|copyright|redistribut|warrant|public domain|permission|endorse|rights reserved|\bcc0\b"
 
+#: Between the words of a known sentence: marks, line breaks and the signs of a comment.
+BETWEEN = r"[^\p{L}\p{N}]+"
+#: What may follow a known sentence.
+END = r"(?=[^\p{L}\p{N}\n\r]*(?:[\n\r]|$)|[^\p{L}\p{N}\s]*[.!?;][^\p{L}\p{N}\s]*[ \t]|[^\p{L}\p{N}\s]*:[ \t]+(?-i:[A-Z]))"
+
+
+def _whole(text: Column) -> Column:
+    """The text with each known sentence on a line of its own, however it is wrapped, commented or marked inside.
+
+    It must begin and end where a sentence can: at a line's end, a sentence mark or a colon.
+    """
+    lead = LEAD.removeprefix("^").replace(" ", BETWEEN)
+    for v in sorted({_bare(v) for variants in SENTENCES.values() for v in variants}, key=lambda v: (-len(v), v)):
+        text = F.regexp_replace(text, rf"(?i)(?<=^|[\n\r]|[.!?;:][ \t])[^\p{{L}}\p{{N}}\n\r]*(?:{lead})?{v.replace(' ', BETWEEN)}{END}", f"\n{v}.\n")
+    return text
+
 
 def sentences(text: Column) -> Column:
-    """The text's sentences that can matter, as written."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: s.rlike(ANCHOR))
+    """The text's sentences that can matter, as written but for the known ones."""
+    text = F.coalesce(text, F.lit(""))
+    return F.filter(F.split(F.when(text.rlike(ANCHOR), _whole(text)).otherwise(F.lit("")), SPLIT), lambda s: s.rlike(ANCHOR))
 
 
 def normalised(sentence: Column) -> Column:

@@ -1,3 +1,5 @@
+import textwrap
+
 from spindrift.llm import license_scan as scan
 from tests.oracle import same
 
@@ -48,3 +50,53 @@ def test_every_sentence_and_every_rule(spark):
     got = {r.id: r for r in scan.scan(df).collect()}
     assert [got[k].sentence_ids for k in range(len(known))] == [[name] for name, _ in known]
     assert [got[len(known) + k].licences for k in range(len(scan.RULES))] == [[licence] for licence, _ in scan.RULES]
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of it was not given, ask for one."
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+
+
+def test_wrapped_headers(spark):
+    want = [
+        (MIT + "\n" + AS_IS, "MIT", ["mit-name", "unknown", "mit-grant", "mit-notice", "as-is-mit"]),
+        (GPL2, "GPL-2.0", ["gpl-2-grant", "gpl-warranty", "gpl-details"]),
+        (GPL2.replace("version 2", "version 3").replace("; you", ": you"), "GPL-3.0", ["gpl-3-grant", "gpl-warranty", "gpl-details"]),
+        (APACHE, "Apache-2.0", ["apache-2-name", "apache-comply", "apache-copy", "apache-as-is", "unknown"]),
+        (BSD, "BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
+        (MPL, "MPL-2.0", ["mpl-2-name"]),
+    ]
+    texts = []
+    for text, _, _ in want:
+        texts.append(text)
+        for width in (70, 80):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            texts += [wrapped, wrapped.replace("\n", "\r\n"), textwrap.indent(wrapped, " * ", lambda _: True), textwrap.indent(wrapped, "# ", lambda _: True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in scan.scan(df).collect()}
+    for k in range(len(texts)):
+        _, licence, ids = want[k // 9]
+        assert got[k].licences == [licence], texts[k]
+        # an unknown sentence is still cut at its line breaks
+        assert [i for i in got[k].sentence_ids if i != "unknown"] == [i for i in ids if i != "unknown"], texts[k]
+        assert k % 9 or got[k].sentence_ids == ids
+
+
+def test_known_words_within_a_sentence_are_not_known(spark):
+    texts = ["It says licensed under the MIT License here.", "Released under the MIT License, perhaps, or not."]
+    got = {r.id: r for r in scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].sentence_ids for k in range(2)] == [["unknown"]] * 2

@@ -57,6 +57,41 @@ def discard(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with a tail that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        k = 0
+        while f"{name}_{k}" in have:
+            k += 1
+        out.append(f"{name}_{k}")
+    return out
+
+
+def kept_rows(docs: DataFrame, id_col: str, text_hash: Column, rows: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that ``rows (id, hash, kept)`` keeps, each (id, text) once; only narrow rows are shuffled.
+
+    rows: one for each row of ``docs``.  What goes is broadcast up to
+    ``broadcast_rows`` rows, so the texts stay where they are; beyond that both
+    sides are joined by shuffle.
+    """
+    i, h = fresh(docs, "key", "hash")
+    counted = rows.groupBy(F.col("id").alias(i), F.col("hash").alias(h)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = written(counted.where("n > 1 OR NOT kept"), "gone")
+    n, again = gone.agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).first()
+    side = gone.select(i, h)
+    hashed = docs.withColumns({i: F.col(id_col).cast("long"), h: text_hash})
+    at = lambda df, other: df[i].eqNullSafe(other[i]) & (df[h] == other[h])
+    left = F.broadcast(side) if n <= broadcast_rows else side
+    stays = hashed.join(left, at(hashed, left), "left_anti")
+    if again:  # rows that repeat: these alone are grouped
+        twice = gone.where("kept").select(i, h)
+        twice = F.broadcast(twice) if again <= broadcast_rows else twice
+        stays = stays.unionByName(hashed.join(twice, at(hashed, twice), "left_semi").dropDuplicates([i, h]))
+    return stays.select(*docs.columns)
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a number's decimal text, modulo ``n`` (null where the number is)."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_bytes, written
+from .common import by_batch, kept_rows, text_bytes, written
 from .components import connected_components
 
 BITS = 64
@@ -188,10 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one with the least id."""
     found = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    best = _classes(found, radius, bucket).select("best.id", "best.hash").distinct()
-    hashed = docs.withColumn("_hash", _hash(text_col))
-    kept = hashed.join(best, F.col(id_col).cast("long").eqNullSafe(best.id) & (hashed["_hash"] == best.hash), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    rows = found.join(_classes(found, radius, bucket), "fp", "left").select("id", "hash", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))).alias("kept"))
+    return kept_rows(docs, id_col, _hash(text_col), rows)
 
 
 def op8_simhash(spark, sf_dir):

@@ -4,6 +4,7 @@ import collections
 
 import corpus_pipeline
 from spindrift.llm import decontamination, quality_knn
+from tests.llm.test_near_copies import brute
 from tests.llm.test_packing import verify
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -38,8 +39,8 @@ def test_every_stage(spark, tmp_path):
     scores = {k: quality_knn.vote(quality_knn.unit(quality_knn.weighted(terms.counts([t.encode()]), model.idf) @ model.space), model, 25, 8)[0] for k, t in inputs[1].items()}
     assert ids[2] == {k for k, s in scores.items() if s >= 0.3}
 
-    classes = brute_components([(k, brute_fingerprint(t)) for k, t in inputs[2].items()])
-    assert ids[3] == {c for _, _, c in classes}
+    apart = {c for _, _, c in brute_components([(k, brute_fingerprint(t, 5)) for k, t in inputs[2].items()])}
+    assert ids[3] == brute([(k, inputs[2][k]) for k in apart])
 
     items = [decontamination.normalised(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     texts = {k: decontamination.normalised(t) for k, t in inputs[3].items()}

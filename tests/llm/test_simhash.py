@@ -5,11 +5,11 @@ import xxhash
 from spindrift.llm import simhash
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, n=3):
     words = [w for w in (text or "").encode().lower().split()]
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
     count = [0] * 64
     for s in shingles:
         h = xxhash.xxh64_intdigest(s, 42)
@@ -91,3 +91,11 @@ def test_odd_rows(spark):
     got = sorted(((r.id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 7), (5, 3), (3, 3), (7, 7), (7, 7), (9, 9)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y"), (1, "a b c d", 7, "z"), (None, "q r s t u v", 9, "w"), (None, "q r s t u v", 9, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash long, key_0 string")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r._hash) for r in got.collect()) == [(0, 9), (1, 7)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import fields as fx
 from .functions import values as vx
 from .operators import assembly, export, facets, histogram, pages
 from .plans.compiler import search
@@ -112,12 +113,12 @@ ORACLE_SQL["time_range"] = f"{VIEW}{_SHOWN_SQL}ts >= {SPAN[0]} AND ts < {SPAN[1]
 
 
 def _parsed(spark, d):
-    out = search(log_view(spark, d), r"| logfmt | json | regexp `(?P<took>\d+)ms`").where("line_no % 7 = 0")
+    out = search(log_view(spark, d), r"| logfmt | json | regexp `(?P<took>\d+)ms`")
     return out.select("line_no", F.array_join(F.transform("parsed", lambda p: F.concat(p["name"], F.lit("="), p["value"])), " ").alias("parsed"))
 
 
 QUERIES["parsed_fields"] = _parsed
-ORACLE_SQL["parsed_fields"] = VIEW + "SELECT line_no, 'user=' || \"userId\" || ' took=' || took || ' size=' || kib || 'KiB k=' || k AS parsed FROM log WHERE line_no % 7 = 0"
+ORACLE_SQL["parsed_fields"] = VIEW + "SELECT line_no, 'user=' || \"userId\" || ' took=' || took || ' size=' || kib || 'KiB k=' || k AS parsed FROM log"
 
 _PAGE = ["ts", "file_idx", "line_no", "level", "message"]
 
@@ -206,6 +207,29 @@ ORACLE_SQL["export_json_lines"] = (
 )
 
 
+def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` as events, so with very long messages."""
+    d = _table(spark, sf_dir, "documents")
+    none = F.lit("")
+    return d.select(
+        F.col("doc_id").alias("ts"), F.lit("info").alias("level"), F.coalesce("source", none).alias("source"), F.coalesce("source", none).alias("file"), F.lit(0).alias("file_idx"), F.col("doc_id").alias("line_no"),
+        none.alias("logger"), none.alias("thread"), none.alias("exception"), F.array().cast("array<struct<name:string,value:string>>").alias("fields"), F.coalesce("text", none).alias("message"), F.lit(False).alias("ts_inferred"),
+    )
+
+
+# Patterns that backtracking can't be trusted with: repeated groups, and several repetitions in a row.
+_NESTED = r"(?:[a-z]+[ ,]+)+zu (?:[a-z]+ ){2,}[a-z]+\."
+QUERIES["line_re_nested"] = lambda spark, d: search(document_view(spark, d), f"|~ `{_NESTED}`", False).select("line_no")
+ORACLE_SQL["line_re_nested"] = f"SELECT doc_id AS line_no FROM documents WHERE regexp_matches(text, '{_NESTED}')"
+_OPEN = r"e.*f.*g.*h.*q"
+QUERIES["line_nre_open"] = lambda spark, d: search(document_view(spark, d), f"!~ `{_OPEN}`", False).select("line_no")
+ORACLE_SQL["line_nre_open"] = f"SELECT doc_id AS line_no FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '{_OPEN}')"
+_LONG = r"(?P<run>(?:[a-z]+ )+)(?P<last>[a-z]+)\.(?P<next> [A-Z])?"
+QUERIES["stage_regexp_long"] = lambda spark, d: search(document_view(spark, d), f"| regexp `{_LONG}` | run != \"\"").select("line_no", *(fx.lookup(F.col("parsed"), n).alias(n) for n in ("run", "last", "next")))
+ORACLE_SQL["stage_regexp_long"] = f"""SELECT doc_id AS line_no, regexp_extract(text, '{_LONG}', 1) AS run, regexp_extract(text, '{_LONG}', 2) AS last, nullif(regexp_extract(text, '{_LONG}', 3), '') AS next
+FROM documents WHERE regexp_matches(text, '{_LONG}')"""
+
+
 # -- lines of documents and conversations ------------------------------------------
 
 
@@ -237,7 +261,7 @@ ORACLE_SQL["ts_inherit"] = _LINES_SQL + "SELECT file, e.line_no, coalesce(g.carr
 def _conversation_events(spark, d):
     """Turns as lines: a user's turn opens an event, the answers continue it, some as traces."""
     c = _table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Caused by: com.acme."), F.initcap("role"), F.lit("Error: "), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Caused by: com.acme."), F.initcap("role"), F.lit("Error: "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     lines = c.select("conv_id", F.col("turn").alias("line_no"), text.alias("text"), "role")
     out = assembly.assemble(lines, F.col("role") == "user", F.lit(None).cast("long"), F.col("conv_id"), "conv_id", block_lines=2)
     return out.select("file", "line_no", "ts", "exception", "n_lines")

@@ -14,11 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lang.dialect import PREFIX, translate
+from .regexes import _PAIRS_ARROW, PAIRS
 from .values import first_line, once
 
-PAIRS = "array<struct<name:string,value:string>>"
-_PAIRS_ARROW = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-
 #: A key up to its ``=``, then a quoted value (closed or not) or one up to the next space.
 _LOGFMT = r'([^= ]*)=(?:"((?:\\[\s\S]|[^"\\])*\\?)"?|([^ ]*))'
 

@@ -3,8 +3,8 @@
 Events have the columns ``ts level source file file_idx line_no logger thread
 exception fields message ts_inferred``.  Stream labels and ``level`` become plain
 column predicates, so partition pruning and Parquet statistics apply; line
-filters and typed comparisons are built-in expressions.  Only ``| json`` runs an
-Arrow function, over rows that the filters before it kept, and only for the
+filters and typed comparisons are built-in expressions.  Only ``| json``, and
+regexes that backtracking can't be trusted with, run an Arrow function, over rows that the filters before it kept, and only for the
 fields that later filters read; parser stages that no filter reads are left
 out.  What is shown of the extracted fields is extracted at the very end, on the
 rows that are returned.
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fields as fx
+from ..functions import regexes as rx
 from ..functions import values as vx
 from ..lang import parse
 from ..lang import syntax as ast
-from ..lang.dialect import PREFIX, translate
+from ..lang.dialect import translate
 
 STREAM = ("source", "file", "level")
 CORE = ("logger", "thread", "exception")
@@ -55,10 +56,7 @@ def text_test(value: Column, op: str, literal: str, fold: bool = False) -> Colum
     if op in ("=", "==", "!="):
         same = value == F.lit(literal.lower() if fold else literal)
         return ~same if op == "!=" else same
-    whole = translate(literal).whole()
-    if fold:
-        whole = PREFIX.replace(")", "i)") + whole[len(PREFIX) :]
-    hit = value.rlike(whole)
+    hit = rx.matches(value, literal, whole=True, fold=fold)
     return ~hit if op == "!~" else hit
 
 
@@ -81,15 +79,15 @@ def line_filter(stage: ast.Line) -> Column:
     if stage.op in ("|=", "!="):
         hit = reduce(Column.__or__, [message.contains(v) for v in stage.values])
     else:
-        hit = message.rlike(PREFIX + "|".join(f"(?:{translate(v).java[len(PREFIX) :]})" for v in stage.values))
+        hit = rx.any_matches(message, tuple(stage.values))
     return ~hit if stage.op in ("!=", "!~") else hit
 
 
 class Extracted:
     """The fields of the parser stages so far: a value for each name that a filter reads.
 
-    A later stage's value comes before an earlier one's.  ``json`` stages keep
-    their fields in a column, so the Arrow function runs once.
+    A later stage's value comes before an earlier one's.  Stages that need an
+    Arrow function keep their fields in a column, so it runs once.
     """
 
     def __init__(self):
@@ -98,7 +96,7 @@ class Extracted:
     def value(self, name: str) -> Column | None:
         found = []
         for stage, column in reversed(self.stages):
-            if isinstance(stage, ast.Json):
+            if column:
                 found.append(fx.lookup(F.col(column), name))
             elif isinstance(stage, ast.Logfmt):
                 found.append(fx.logfmt_value(vx.first_line(F.col("message")), name))
@@ -141,6 +139,15 @@ def _read_later(stages: tuple[ast.Stage, ...], at: int) -> frozenset[str]:
     return frozenset().union(*(names_read(s.expression) for s in stages[at + 1 :] if isinstance(s, ast.Filter)))
 
 
+def _by_arrow(stage: ast.Stage, names: frozenset[str] | None = None) -> Column | None:
+    """The fields of a stage that needs an Arrow function; None for the others."""
+    if isinstance(stage, ast.Json):
+        return fx.json_fields(F.col("message"), names)
+    if isinstance(stage, ast.Regexp) and not rx.trusted(stage.pattern):
+        return rx.groups(F.col("message"), stage.pattern)
+    return None
+
+
 def search(events: DataFrame, query: ast.Query | str, show_parsed: bool = True, start: int | None = None, end: int | None = None) -> DataFrame:
     """The events that a query matches, within ``start <= ts < end``.
 
@@ -162,9 +169,10 @@ def search(events: DataFrame, query: ast.Query | str, show_parsed: bool = True,
         elif isinstance(stage, ast.Filter):
             out = out.where(condition(stage.expression, extracted))
         elif later := _read_later(query.stages, k):
-            column = f"_json_{k}" if isinstance(stage, ast.Json) else None
+            made = _by_arrow(stage, later)
+            column = f"_fields_{k}" if made is not None else None
             if column:
-                out = out.withColumn(column, fx.json_fields(F.col("message"), later))
+                out = out.withColumn(column, made)
             extracted.stages.append((stage, column))
     kept = out.select(*events.columns)
     return with_parsed(kept, query) if show_parsed else kept
@@ -176,9 +184,9 @@ def with_parsed(matches: DataFrame, query: ast.Query | str) -> DataFrame:
     message = F.col("message")
     found, names = [], []
     for k, stage in enumerate(query.stages):
-        if isinstance(stage, ast.Json):
-            names.append(f"_json_{k}")
-            matches = matches.withColumn(names[-1], fx.json_fields(message))
+        if (made := _by_arrow(stage)) is not None:
+            names.append(f"_fields_{k}")
+            matches = matches.withColumn(names[-1], made)
             found.append(F.col(names[-1]))
         elif isinstance(stage, ast.Logfmt):
             found.append(fx.logfmt_fields(vx.first_line(message)))

@@ -1,19 +1,20 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line breaks and at sentence marks before white
-space), and a sentence is normalised: lower case, everything but letters and
-digits is one space, and a leading "this work is" and the like goes.  Known
-sentences map to identifiers; the text's identifiers, in order, are then
-matched against the rules, longest first: a rule is an ordered sequence of
-identifiers, with other sentences allowed between them up to ``gap``.
-Identifiers that no rule takes are reported as they are, and sentences that
-mention a licence but are not known as ``unknown``.
-
-Known sentences are found first, whole, across line breaks and inner marks; the
-SQL below cuts at those, so it knows wrapped ones only by their pieces.
-
-The table of sentences and the rules are fixed and small; they stand in the
-plan as literals.  Null and empty texts have no sentences and the empty list of
+A text becomes one line of lower-case words in which two marks stand: one where
+a sentence ends (a sentence mark before white space, a colon before a capital,
+a blank line), one at any other line break.  Known sentences are looked for
+whole, from mark to mark, across marks and line breaks inside them, so wrapped
+and commented headers are found; table and text are normalised alike.  Known
+sentences map to identifiers; what is left is cut at sentence ends, and a
+sentence that mentions a licence is ``unknown``.
+
+The identifiers, in order, are then matched against the rules, longest first: a
+rule is an ordered sequence of identifiers, with up to ``gap`` other identifiers
+between two of them.  Identifiers that no rule takes are reported as they are.
+
+A sentence that names a licence may begin with "this work is", "licensed under
+the" and the like.  The tables are fixed and small; they stand in the plan as
+literals.  Null and empty texts have no sentences and the empty list of
 licences; repeated rows are scanned alike; extra columns are ignored.
 """
 
@@ -24,107 +25,188 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentence identifier, then the normalised sentences that it stands for.
+#: Identifier, then what licences say, as they write it.
 SENTENCES: dict[str, list[str]] = {
-    "mit-name": ["released under the mit license", "licensed under the mit license", "distributed under the mit license", "available under the mit license", "the mit license", "mit license", "spdx license identifier mit"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
-    "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as-is-mit": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "apache-2-name": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "apache license version 2 0", "spdx license identifier apache 2 0"],
-    "apache-comply": ["you may not use this file except in compliance with the license"],
-    "apache-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at"],
-    "apache-as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "gpl-3-name": ["licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"],
-    "gpl-2-name": ["licensed under the gnu general public license version 2", "released under the gnu general public license version 2", "spdx license identifier gpl 2 0 only", "spdx license identifier gpl 2 0 or later"],
-    "gpl-3-grant": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl-2-grant": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl-warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "gpl-details": ["see the gnu general public license for more details"],
-    "lgpl-3-name": ["licensed under the gnu lesser general public license version 3"],
-    "agpl-3-name": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0 only"],
-    "mpl-2-name": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
-    "bsd-name": ["released under the bsd license", "licensed under the bsd license", "spdx license identifier bsd 3 clause"],
-    "bsd-head": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
-    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "cc-by-4-name": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-sa-4-name": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by-nc-4-name": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc0-name": ["released under cc0 1 0", "licensed under cc0 1 0", "spdx license identifier cc0 1 0"],
-    "all-rights": ["all rights reserved"],
+    "mit-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."],
+    "as-is-mit": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
+    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-as-is": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "apache-comply": ["you may not use this file except in compliance with the License."],
+    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"],
+    "apache-as-is": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl-3-grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-2-grant": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-details": ["See the GNU General Public License for more details."],
+    "lgpl-2-grant": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl-3-grant": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details."],
+    "agpl-3-grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-details": ["See the GNU Affero General Public License for more details."],
+    "mpl-2-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl-2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "epl-2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution."],
+    "bsd-head": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-grant": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "bsl-grant": ['Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'],
+    "all-rights": ["All rights reserved."],
 }
 
+#: Identifier, names of the licence as texts write them, identifiers of SPDX.
+NAMES: dict[str, tuple[list[str], list[str]]] = {
+    "mit-name": (["MIT License", "MIT Licence", "MIT/X11 License", "Expat License"], ["MIT"]),
+    "isc-name": (["ISC License"], ["ISC"]),
+    "apache-2-name": (["Apache License, Version 2.0", 'Apache License, Version 2.0 (the "License")', "Apache License 2.0", "Apache 2.0 License", "Apache License Version 2.0, January 2004"], ["Apache-2.0"]),
+    "gpl-2-name": (["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GNU General Public License Version 2, June 1991"], ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"]),
+    "gpl-3-name": (["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GNU General Public License Version 3, 29 June 2007"], ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"]),
+    "lgpl-2-name": (["GNU Lesser General Public License, version 2.1", "LGPLv2.1"], ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"]),
+    "lgpl-3-name": (["GNU Lesser General Public License, version 3", "LGPLv3"], ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"]),
+    "agpl-3-name": (["GNU Affero General Public License, version 3", "AGPLv3"], ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"]),
+    "mpl-2-name": (["Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0"], ["MPL-2.0"]),
+    "epl-2-name": (["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License - v 2.0"], ["EPL-2.0"]),
+    "bsl-name": (["Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"], ["BSL-1.0"]),
+    "zlib-name": (["zlib License"], ["Zlib"]),
+    "unlicense-name": (["Unlicense"], ["Unlicense"]),
+    "bsd-name": (["BSD License", "BSD-style License"], []),
+    "bsd-2-name": (["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"], ["BSD-2-Clause"]),
+    "bsd-3-name": (["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"], ["BSD-3-Clause"]),
+    "cc0-name": (["CC0 1.0", "CC0 1.0 Universal"], ["CC0-1.0"]),
+    **{
+        f"cc-{code.lower()}-4-name": ([f"CC {code} 4.0", f"Creative Commons {words} 4.0 International License", f"Creative Commons {words} 4.0 International"], [f"CC-{code}-4.0"])
+        for code, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    },
+}
+
 #: Licence, then the identifiers that it needs in order.  The first rule that matches at a place takes it.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-name", "mit-grant", "mit-notice", "as-is-mit"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is-mit"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("ISC", ["isc-name", "isc-grant", "isc-as-is"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
     ("Apache-2.0", ["apache-2-name", "apache-comply", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["apache-2-name", "apache-comply"]),
     ("GPL-3.0", ["gpl-3-grant", "gpl-warranty", "gpl-details"]),
     ("GPL-2.0", ["gpl-2-grant", "gpl-warranty", "gpl-details"]),
+    ("LGPL-2.1", ["lgpl-2-grant", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-3.0", ["lgpl-3-grant", "lgpl-warranty", "lgpl-details"]),
+    ("AGPL-3.0", ["agpl-3-grant", "gpl-warranty", "agpl-details"]),
+    ("MPL-2.0", ["mpl-2-form", "mpl-2-copy"]),
     ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"]),
-    ("MIT", ["mit-name"]),
-    ("Apache-2.0", ["apache-2-name"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-grant"]),
+    ("ISC", ["isc-grant"]),
     ("GPL-3.0", ["gpl-3-grant"]),
-    ("GPL-3.0", ["gpl-3-name"]),
     ("GPL-2.0", ["gpl-2-grant"]),
+    ("LGPL-2.1", ["lgpl-2-grant"]),
+    ("LGPL-3.0", ["lgpl-3-grant"]),
+    ("AGPL-3.0", ["agpl-3-grant"]),
+    ("MPL-2.0", ["mpl-2-form"]),
+    ("EPL-2.0", ["epl-2-terms"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Unlicense", ["unlicense-domain"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("MIT", ["mit-name"]),
+    ("ISC", ["isc-name"]),
+    ("Apache-2.0", ["apache-2-name"]),
     ("GPL-2.0", ["gpl-2-name"]),
+    ("GPL-3.0", ["gpl-3-name"]),
+    ("LGPL-2.1", ["lgpl-2-name"]),
     ("LGPL-3.0", ["lgpl-3-name"]),
     ("AGPL-3.0", ["agpl-3-name"]),
     ("MPL-2.0", ["mpl-2-name"]),
+    ("EPL-2.0", ["epl-2-name"]),
+    ("BSL-1.0", ["bsl-name"]),
+    ("Zlib", ["zlib-name"]),
+    ("Unlicense", ["unlicense-name"]),
     ("BSD", ["bsd-name"]),
+    ("BSD-2-Clause", ["bsd-2-name"]),
+    ("BSD-3-Clause", ["bsd-3-name"]),
+    ("CC0-1.0", ["cc0-name"]),
     ("CC-BY-4.0", ["cc-by-4-name"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-name"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4-name"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-name"]),
-    ("CC0-1.0", ["cc0-name"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4-name"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4-name"]),
 ]
 
-SPLIT = r"[\n\r]+|(?<=[.!?;])[ \t]+|:[ \t]+(?=[A-Z])"
-LEAD = r"^(this|the) (work|file|software|project|program|text|document|library|code|material|content)s? (is|are) "
+STOP, BREAK, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003"  # a sentence's end, a line's end, around a known sentence
+#: What may stand before a licence's name.
+BEFORE = r"(?:(?:this|the) (?:work|file|software|project|program|text|document|library|code|material|content|package)s? (?:is|are) )?(?:(?:dual |re)?(?:licensed|released|distributed|published|provided|(?:made )?available) under (?:the )?(?:terms of (?:the )?)?|licen[cs]e |the )?"
+SPDX = "spdx license identifier "
 MENTION = r"licen[cs]e|copyright|redistribut|warrant(y|ies)\b|public domain|permission is"
-#: What a sentence must hold to be known or to mention a licence; spares the others their normalisation.
-ANCHOR = r"(?i)licen[cs]|copyright|redistribut|warrant|public domain|permission|endorse|rights reserved|\bcc0\b"
+#: What a text must hold to have a known sentence or to mention a licence; spares the others all the rest.
+ANCHOR = r"(?i)licen[cs]|copyright|redistribut|warrant|public domain|permission|endorse|rights reserved|\bcc0\b|\bcc[ -]by\b|\bl?a?gpl|\bmpl\b|free to copy|creative commons"
 
-#: Between the words of a known sentence: marks, line breaks and the signs of a comment.
-BETWEEN = r"[^\p{L}\p{N}]+"
-#: What may follow a known sentence.
-END = r"(?=[^\p{L}\p{N}\n\r]*(?:[\n\r]|$)|[^\p{L}\p{N}\s]*[.!?;][^\p{L}\p{N}\s]*[ \t]|[^\p{L}\p{N}\s]*:[ \t]+(?-i:[A-Z]))"
 
+def plain(text: str) -> str:
+    """A sentence of the table in the words that ``marked`` makes of it."""
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
 
-def _whole(text: Column) -> Column:
-    """The text with each known sentence on a line of its own, however it is wrapped, commented or marked inside.
 
-    It must begin and end where a sentence can: at a line's end, a sentence mark or a colon.
-    """
-    lead = LEAD.removeprefix("^").replace(" ", BETWEEN)
-    for v in sorted({_bare(v) for variants in SENTENCES.values() for v in variants}, key=lambda v: (-len(v), v)):
-        text = F.regexp_replace(text, rf"(?i)(?<=^|[\n\r]|[.!?;:][ \t])[^\p{{L}}\p{{N}}\n\r]*(?:{lead})?{v.replace(' ', BETWEEN)}{END}", f"\n{v}.\n")
-    return text
+KNOWN = {plain(v): name for name, variants in SENTENCES.items() for v in variants}
+NAMED = {plain(v): name for name, (names, _) in NAMES.items() for v in names}
+TAGGED = {SPDX + plain(v): name for name, (_, tags) in NAMES.items() for v in tags}
 
 
-def sentences(text: Column) -> Column:
-    """The text's sentences that can matter, as written but for the known ones."""
-    text = F.coalesce(text, F.lit(""))
-    return F.filter(F.split(F.when(text.rlike(ANCHOR), _whole(text)).otherwise(F.lit("")), SPLIT), lambda s: s.rlike(ANCHOR))
+def _longest_first(found: dict[str, str]) -> str:
+    return "|".join(sorted(found, key=lambda v: (-len(v), v)))
 
 
-def normalised(sentence: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(bare, LEAD, "")
+def known_pattern() -> str:
+    """A known sentence between marks, which may stand between its words too."""
+    words = f"(?:{_longest_first(KNOWN | TAGGED)}|{BEFORE}(?:{_longest_first(NAMED)}))"
+    return f"([{STOP}{BREAK}] )({words.replace(' ', f' (?:[{STOP}{BREAK}] )?')})(?= [{STOP}{BREAK}])"
 
 
-def _bare(sentence: str) -> str:
-    """A sentence of the table as ``normalised`` gives it."""
-    return re.sub(LEAD, "", sentence)
+def marked(text: Column) -> Column:
+    """Lower-case words, one space between two, and marks; a mark at both ends."""
+    for pattern, by in (
+        (f"[{STOP}{BREAK}{OPEN}{CLOSE}]", " "),
+        (r"\r\n?", "\n"),
+        (r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*+", f" {STOP} "),
+        (r"""([.!?;]["')\]]?)\s+""", f"$1 {STOP} "),
+        (r":[ \t]+([A-Z])", f" {STOP} $1"),
+        (r"\n", f" {BREAK} "),
+    ):
+        text = F.regexp_replace(text, pattern, by)
+    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{STOP}{BREAK}]+", " ")
+    return F.regexp_replace(F.concat(F.lit(f"{STOP} "), text, F.lit(f" {STOP}")), f"[{STOP}{BREAK} ]*{STOP}[{STOP}{BREAK} ]*", f" {STOP} ")
 
 
-def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, ``unknown``, or null if it doesn't mention a licence."""
-    known = F.create_map(*[F.lit(x) for name, variants in SENTENCES.items() for v in variants for x in (_bare(v), name)])
-    return F.coalesce(F.try_element_at(known, sentence), F.when(sentence.rlike(MENTION), F.lit("unknown")))
+def _known(sentence: Column) -> Column:
+    """The identifier of a known sentence."""
+    bare = F.regexp_replace(sentence, f"[{STOP}{BREAK}] ", "")
+    table = lambda found: F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    return F.coalesce(F.try_element_at(table(KNOWN | TAGGED | NAMED), bare), F.try_element_at(table(NAMED), F.regexp_replace(bare, f"^{BEFORE}", "")))
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of a text's sentences in order; ``unknown`` for others that mention a licence."""
+    none = F.array().cast("array<string>")
+    parts = F.split(F.regexp_replace(marked(text), known_pattern(), f"$1{OPEN}$2{CLOSE}"), OPEN)
+
+    def unknown(rest: Column) -> Column:
+        said = F.filter(F.split(F.regexp_replace(rest, f" {BREAK} ", " "), STOP), lambda s: s.rlike(MENTION))
+        return F.transform(said, lambda s: F.lit("unknown"))
+
+    def of(part: Column, k: Column) -> Column:
+        halves = F.split(part, CLOSE)
+        return F.when(k == 0, unknown(part)).otherwise(F.concat(F.array(_known(F.element_at(halves, 1))), unknown(F.element_at(halves, 2))))
+
+    return F.when(text.rlike(ANCHOR), F.flatten(F.transform(parts, of))).otherwise(none)
 
 
 def _rule_pattern(gap: int) -> str:
@@ -147,10 +229,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: i
     A rule may skip up to ``gap`` sentences between two of its own that mention
     a licence; sentences that mention none don't count.
     """
-    found = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col).cast("string")).alias("_s"))
-    ids = F.filter(F.transform("_s", lambda s: identifier(normalised(s))), lambda i: i.isNotNull())
-    # most texts mention nothing: they skip the rest
-    named = found.select("id", F.when(F.size("_s") == 0, F.array().cast("array<string>")).otherwise(ids).alias("sentence_ids"))
+    named = docs.select(F.col(id_col).alias("id"), identifiers(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("sentence_ids"))
     return named.select(
         "id",
         "sentence_ids",
@@ -170,35 +249,3 @@ def op10_license_scan(spark, sf_dir):
         F.size("licences").cast("long").alias("n_licences"),
         "n_unknown",
     )
-
-
-def _sql() -> str:
-    """The same scan in DuckDB: one row for each sentence, then names by identifier (rules of one sentence)."""
-    rows = ",\n  ".join(f"('{v}', '{name}')" for name, variants in SENTENCES.items() for v in variants)
-    rules = ",\n  ".join(f"({k}, '{licence}', '{''.join(f'<{n}>' for n in need)}', '{'(?:<[a-z0-9-]+>){0,2}?'.join(f'<{n}>' for n in need)}')" for k, (licence, need) in enumerate(RULES))
-    return rf"""
-WITH known(sentence, name) AS (VALUES
-  {rows}),
-rules(k, licence, plain, pattern) AS (VALUES
-  {rules}),
-s0 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'),
-        ':[ \t]+([A-Z])', chr(10) || '\1', 'g'), '[\n\r]+', chr(10), 'g') AS t FROM documents),
-s1 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM s0),
-s2 AS (SELECT doc_id, k, regexp_replace(trim(regexp_replace(lower(s), '[^\pL\pN]+', ' ', 'g')), '{LEAD}', '') AS n FROM s1
-       WHERE regexp_matches(s, '{ANCHOR}')),
-s3 AS (SELECT doc_id, k, coalesce(name, CASE WHEN regexp_matches(n, '{MENTION}') THEN 'unknown' END) AS id
-       FROM s2 LEFT JOIN known ON sentence = n),
-g AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS ids, string_agg('<' || id || '>', '' ORDER BY k) AS tags,
-        count(*) FILTER (id = 'unknown') AS n_unknown FROM s3 WHERE id IS NOT NULL GROUP BY doc_id),
-parts AS (SELECT doc_id, unnest(regexp_extract_all(tags, (SELECT string_agg(pattern, '|' ORDER BY k) FROM rules))) AS part,
-        generate_subscripts(regexp_extract_all(tags, (SELECT string_agg(pattern, '|' ORDER BY k) FROM rules)), 1) AS pos FROM g),
-named AS (SELECT doc_id, pos, (SELECT arg_min(licence, k) FROM rules WHERE regexp_full_match(part, pattern)) AS licence FROM parts),
-once AS (SELECT doc_id, licence, min(pos) AS pos FROM named GROUP BY ALL),
-l AS (SELECT doc_id, string_agg(licence, ',' ORDER BY pos) AS licences, count(*) AS n FROM once GROUP BY doc_id)
-SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences,
-       coalesce(n, 0)::BIGINT AS n_licences, coalesce(n_unknown, 0)::BIGINT AS n_unknown
-FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)
-"""
-
-
-OP10_SQL = _sql()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from .decontamination import op9_decontamination
 from .html_extract import op4_html_extract
 from .language_id import op2_language_id
-from .license_scan import OP10_SQL, op10_license_scan
+from .license_scan import op10_license_scan
+from .license_sql import OP10_SQL
 from .packing import op7_packing
 from .quality_knn import op6_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules

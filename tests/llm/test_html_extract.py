@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from spindrift.llm import html_extract as ext
 
 
@@ -36,20 +38,60 @@ def test_classes_equal_occurrence_vectors(spark):
     df = spark.createDataFrame(rows, "id long, url string, html string")
     vectors = defaultdict(dict)
     for k, _, source in rows:
-        for token, n in Counter(ext.parse(source).tokens).items():
-            vectors[ext._hash(token)][k] = n
+        for token, n in Counter(ext.tokens_of(ext.parse(source))).items():
+            vectors[token][k] = n
     by_vector, by_signature = defaultdict(set), defaultdict(set)
     for t, v in vectors.items():
         by_vector[tuple(sorted(v.items()))].add(t)
     for r in ext.token_table(df).where("token <> 0").collect():
-        by_signature[r.signature, r.support].add(r.token % 2**64)
+        by_signature[r.low, r.high, r.support].add(r.token % 2**64)
+        assert r.times == sum(vectors[r.token % 2**64].values())
     assert sorted(map(sorted, by_vector.values())) == sorted(map(sorted, by_signature.values()))
 
 
+def test_repeated_rows_keep_vectors_apart(spark):
+    rows = [(7, "http://h.example/1", "<div><p>a</p></div>")] * 2 + [(8, "http://h.example/2", "<div><p>a</p><p>b</p></div>")] * 2
+    df = spark.createDataFrame(rows, "id long, url string, html string")
+    found = {r.token: (r.low, r.high) for r in ext.token_table(df).where("token <> 0").collect()}
+    assert len(set(found.values())) == 3  # once in each page, once and twice, in the second only
+
+
 def test_crossing_classes_are_not_valid():
-    page = ext.Page(tokens=list("abcdabxy"))
-    number = {ext._hash(t): c for t, c in zip("abcxy", (1, 2, 1, 3, 3), strict=True)}
-    assert ext.valid_tokens(page, number) == [True, False, True, False, True, False, True, True]
+    classes = {t: c for t, c in zip("abcxy", (1, 2, 1, 3, 3), strict=True)}
+    assert ext.valid_tokens(list("abcdabxy"), classes) == set("acxy")
+
+
+def neutral(source, names):
+    """A page whose elements of these names are nameless."""
+    return re.sub(rf"<(/?)(?:{names})\b[^>]*>", r"<\1div>", source)
+
+
+@pytest.mark.parametrize("names,exactly", [("nav|ul|article|footer|h1|div", True), ("nav|ul|li|article|footer|h1|p|div", False)])
+def test_template_finds_articles_without_names(spark, names, exactly):
+    d = "/root/testdata/sf0.01"
+    want = {r.page_id: r.text for r in ext.op4_html_extract(spark, d).collect()}
+    rows = [(r.page_id, r.url, neutral(r.html, names)) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = Counter(ext.host_of(u) for _, u, _ in rows)
+    large = {k for k, u, _ in rows if hosts[ext.host_of(u)] >= 4}
+
+    def close(text, k):
+        a, b = Counter(text.split()), Counter(want[k].split())
+        return text.split() == want[k].split() if exactly else 10 * (a & b).total() >= 9 * max(a.total(), b.total())
+
+    count = lambda **o: sum(r.id in large and close(r.text, r.id) for r in ext.main_texts(df, **o).collect())
+    with_template, without = count(), count(least_pages=10**9)
+    # paragraphs that are never closed can't be told apart from what holds them once they are nameless too
+    assert with_template >= (1 if exactly else 0.88) * len(large) and without < (0.6 if exactly else 0.8) * len(large), (len(large), with_template, without)
+
+
+def test_repeated_blocks_in_the_article_are_template(spark):
+    notice = "<div><p>We keep a small jar of biscuits on this site so that the next visit is a little bit sweeter than the first one was.</p></div>"
+    rows = [(k, f"http://h.example/{k}", f"<body><div><article><h1>Title {k}</h1><p>{'. '.join(story(k))}</p>{notice}<p>Short.</p></article></div></body>") for k in range(8)]
+    rows += [(100 + k, f"http://copies.example/{k}", "<body><article><h1>One</h1><p>The same story on every page of this host.</p></article></body>") for k in range(5)]
+    got = {r.id: r.text for r in ext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("biscuits" not in got[k] and got[k].startswith(f"Title {k}\nOnce") for k in range(8))
+    assert all(got[100 + k] == "One\nThe same story on every page of this host." for k in range(5))
 
 
 def test_query_returns_the_articles(spark):
@@ -72,6 +114,11 @@ def test_odd_pages(spark):
         "<article>" + "<p>long one</p>" * 50000: "\n".join(["long one"] * 50000),
         "<div hidden>no</div><p>yes</p><style>p{}</style><!-- <p>no</p> --><script>'</p>'": "yes",
         "a < b and <b>c</b>": "a < b and c",
+        "<article><p class=it's>One two</p><p>don't lose this</p></article>": "One two\ndon't lose this",
+        '<article><a href="x"">keep this text</a> and say "quoted" here</article>': 'keep this text and say "quoted" here',
+        "<article><figure><img src=a/><figcaption>Caption</figcaption></figure><noscript>seen</noscript><p class='tags-intro byline meta'>By one</p><math><mi>x</mi></math></article>": "Caption\nseen\nBy one\nx",
+        "<div class='post'>" * 30000 + "<p>deep</p>": "deep",
+        "<p a=b c = 'd>e' f=\"g>h\" / =i>text</p><!--> <p>kept</p> <!-- x --!> </p3 z><p>end": "text\nkept\nend",
         "<div class='content has-sidebar'><p>the text</p></div><div class='left-sidebar'>no</div>": "the text",
         "<div id='search-results'><p>a whole page in a box that sounds like something else</p></div>": "a whole page in a box that sounds like something else",
     }

@@ -7,12 +7,13 @@ longest n-grams; if none of them is known, into the next shorter ones, and so
 on.  The language with the largest sum wins; the score is its share of the
 likelihood.
 
-Sample: of each language about ``per_language`` texts, whole, picked by a hash
-of the id (all of them where there are fewer).  The tables hold the ``keep``
-most frequent words and the ``keep`` most frequent n-grams of each length, so
-what is sent to the executors has a fixed bound.
+Sample: of each of the ``languages`` most frequent labels about ``per_language``
+texts, and about ``texts`` in all, whole, picked by a hash of the id (all of
+them where there are fewer).  The tables hold every word and n-gram of the
+sample, so what is sent to the executors is bounded by it.
 
-Texts without letters and nulls are ``und`` with score 0, and so is everything
+Letters are what Unicode calls letters: digits, fractions and circled numbers
+are none.  Texts without letters and nulls are ``und`` with score 0, and so is everything
 if there was nothing to learn from.  Equal sums go to the language that comes
 first in the alphabet.  Labelled rows without text teach nothing.  Repeated
 rows get equal answers; extra columns are ignored.
@@ -27,12 +28,22 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, crc32_mod, spread
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _numbers_beyond_digits() -> str:
+    """Ranges of the characters that are alphanumeric but neither letters nor digits, such as fractions."""
+    found = {k for k in range(0x110000) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()}
+    starts, ends = sorted(k for k in found if k - 1 not in found), sorted(k for k in found if k + 1 not in found)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+LETTERS = re.compile(rf"[^\W\d_{_numbers_beyond_digits()}]+")
 PIECE = 1 << 20
 REMEMBERED = 400_000  # words whose scores a task keeps
 TOGETHER = 500_000  # words that are scored together
@@ -56,10 +67,10 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language; ``tables[0]`` has the words, ``tables[n]`` the n-grams."""
+    """Tokens and their log frequencies by language; ``tables[0]`` has the words, ``tables[n]`` the n-grams."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]] = field(default_factory=list)
+    tables: list[tuple[list[str], np.ndarray]] = field(default_factory=list)
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -78,8 +89,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.width = len(model.languages)
-        self.places = [{token: k for k, token in enumerate(table)} for table in model.tables]
-        self.logs = [np.stack(list(table.values())) if table else np.zeros((0, self.width), np.float32) for table in model.tables]
+        self.places = [{token: k for k, token in enumerate(tokens)} for tokens, _ in model.tables]
+        self.logs = [logs for _, logs in model.tables]
         self.forget()
 
     def forget(self) -> None:
@@ -118,52 +129,53 @@ class Scorer:
 
 
 def _counts(sample: DataFrame, longest: int) -> DataFrame:
-    """``(lang, n, token, c)`` partial counts; n = 0 for words."""
+    """``(k, n, token, c)`` partial counts by number of the language; n = 0 for words."""
 
     def make():
         def run(batch):
             found: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for words in words_of(text):
-                    found.update((lang, w) for w in words)
-            all_counts: Counter = Counter({(lang, 0, w): c for (lang, w), c in found.items()})
-            for (lang, w), c in found.items():
+                    found.update((k, w) for w in words)
+            all_counts: Counter = Counter({(k, 0, w): c for (k, w), c in found.items()})
+            for (k, w), c in found.items():
                 for n in range(1, longest + 1):
                     for g in grams(w, n):
-                        all_counts[lang, n, g] += c
+                        all_counts[k, n, g] += c
             if not all_counts:
                 return None
-            lang, n, token = zip(*all_counts, strict=True)
-            return {"lang": lang, "n": n, "token": token, "c": list(all_counts.values())}
+            k, n, token = zip(*all_counts, strict=True)
+            return {"k": k, "n": n, "token": token, "c": list(all_counts.values())}
 
         return run
 
-    return by_batch(sample, "lang string, n int, token string, c long", make)
+    return by_batch(sample, "k int, n int, token string, c long", make)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2_000, keep: int = 50_000, longest: int = 4, seed: int = 17) -> Model:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2_000, texts: int = 20_000, languages: int = 1_000, longest: int = 4, seed: int = 17) -> Model:
     """A model from rows that all may be learned from."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    have = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    have = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not have:
         return Model([])
-    share = F.lit(0.0)
-    for lang, n in have.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(per_language / n)).otherwise(share)
-    sample = rows.where(spread(F.col(id_col).cast("string"), seed) < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    languages = sorted(have)
-    by_token = _counts(sample, longest).groupBy("n", "token").agg(F.sum("c").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(languages)])
-    ranked = None
-    for n in range(longest + 1):
-        top = by_token.where(F.col("n") == n).orderBy(F.desc("all"), "token").limit(keep)
-        ranked = top if ranked is None else ranked.unionByName(top)
-    found = ranked.toPandas()  # at most (longest + 1) * keep rows
-    model = Model(languages)
-    for n in range(longest + 1):
-        part = found[found.n == n]
-        c = part[[f"c{k}" for k in range(len(languages))]].to_numpy(dtype=np.float64)
-        logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1))).astype(np.float32)
-        model.tables.append(dict(zip(part.token, logs, strict=True)))
+    names = sorted(have)
+    per_language = max(1, min(per_language, texts // len(have)))
+    shares = labelled.sparkSession.createDataFrame([(x, k, per_language / have[x]) for k, x in enumerate(names)], "lang string, k int, share double")
+    picked = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(shares), "lang")
+    sample = picked.where(spread(F.col("id"), seed) < F.col("share")).select("k", "text")
+    by_token = _counts(sample, longest).groupBy("n", "token", "k").agg(F.sum("c").alias("c"))
+    found = by_token.toArrow()  # the tokens of a bounded sample
+    model = Model(names)
+    n, k, c = (found[x].to_numpy() for x in ("n", "k", "c"))
+    for length in range(longest + 1):
+        at = np.nonzero(n == length)[0]
+        tokens = found["token"].take(at).combine_chunks().dictionary_encode()
+        tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+        counts = np.zeros((len(tokens.dictionary), len(names)))
+        np.add.at(counts, (tokens.indices.to_numpy(), k[at]), c[at])
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(counts) + 1))).astype(np.float32)
+        model.tables.append((tokens.dictionary.to_pylist(), logs))
     return model
 
 

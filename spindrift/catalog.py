@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest_catalog
 from .functions import fields as fx
 from .functions import values as vx
 from .operators import assembly, export, facets, histogram, pages
@@ -55,8 +56,8 @@ VIEW = """WITH log AS (SELECT epoch_us(ts) // 1000 AS ts,
 """
 SPAN = (1_704_585_600_000, 1_705_449_600_000)  # 7 to 16 January 2024
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = dict(ingest_catalog.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(ingest_catalog.ORACLE_SQL)
 
 _SHOWN = ["ts", "level", "file_idx", "line_no", "message"]
 _SHOWN_SQL = "SELECT ts, level, file_idx, line_no, message FROM log WHERE "

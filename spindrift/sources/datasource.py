@@ -16,6 +16,7 @@ import io
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from .events import Context, Event, Format, assemble, assemble_range
 from .files import LogFile, decoded_lines, line_feeds, lines_before, lines_of, range_lines, splittable
 
 RAW_SCHEMA = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in EVENT_SCHEMA.fields), T.StructField("error", T.StringType(), True)])
+_SCHEMA = to_arrow_schema(RAW_SCHEMA)
 BATCH = 4_096
 BATCH_BYTES = 8 << 20
 
@@ -41,9 +43,37 @@ def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
-def _row(e: Event, file: dict, file_idx: int) -> dict:
-    fields = [{"name": _valid(k), "value": _valid(v)} for k, v in e.fields]
-    return {"ts": e.ts, "level": e.level, "source": file["source"], "file": file["rel"], "file_idx": file_idx, "line_no": e.line_no, "logger": e.logger, "thread": e.thread, "exception": e.exception, "fields": fields, "message": _valid(e.message), "ts_inferred": e.ts_inferred, "error": None}
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, type=kind)
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return pa.array([None if v is None else _valid(v) for v in values], type=kind)
+
+
+def fields_column(lists: list[list[tuple[str, str]]]) -> pa.Array:
+    """Pairs as a column of lists of structs, without an object for each."""
+    ends = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=ends[1:])
+    flat = [pair for x in lists for pair in x]
+    names, values = (_column([pair[k] for pair in flat], pa.string()) for k in (0, 1))
+    kind = _SCHEMA.field("fields").type.value_type
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names, values], fields=list(kind)), type=_SCHEMA.field("fields").type)
+
+
+def _batch(events: list[Event], file: dict, file_idx: int, error: str | None = None) -> pa.RecordBatch:
+    """A batch of rows; the last one reports an error if there is one."""
+    gone = [None] * (error is not None)
+    n = len(events) + len(gone)
+    of = lambda name: [getattr(e, name) for e in events] + gone
+    made = {
+        "source": [file["source"]] * n,
+        "file": [file["rel"]] * n,
+        "file_idx": [file_idx] * n,
+        "error": [None] * len(events) + [error] * len(gone),
+        "fields": fields_column([e.fields for e in events] + [[]] * len(gone)),
+    }
+    columns = [made[f.name] if f.name in made else of(f.name) for f in _SCHEMA]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else _column(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def event_batches(lines: Iterable[str], file: dict, file_idx: int, form: Format, zone: Zone) -> Iterator[pa.RecordBatch]:
@@ -73,19 +103,18 @@ def last_timestamp(path: str, start: int, form: Format, ctx: Context, window: in
 
 
 def _batches(events: Iterable[Event], file: dict, file_idx: int) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(RAW_SCHEMA)
-    held, size = [], 0
+    held, size, error = [], 0, None
     try:
         for event in events:
-            held.append(_row(event, file, file_idx))
+            held.append(event)
             size += len(event.message)
             if len(held) >= BATCH or size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                yield _batch(held, file, file_idx)
                 held, size = [], 0
     except (OSError, EOFError, UnicodeError, ValueError) as e:
-        held.append({"file": file["rel"], "source": file["source"], "file_idx": file_idx, "error": f"{type(e).__name__}: {e}"})
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+        error = f"{type(e).__name__}: {e}"
+    if held or error is not None:
+        yield _batch(held, file, file_idx, error)
 
 
 class _FilePartition(InputPartition):

@@ -102,11 +102,12 @@ class Service:
         return self.workspace_info()
 
     def cancel_indexing(self) -> None:
-        self.progress.cancelled = True
+        self.progress.cancel()
 
     def indexing_progress(self) -> dict:
         p = self.progress
-        return {"phase": p.phase, "filesTotal": p.files_total, "filesDone": p.files_done, "bytesTotal": p.bytes_total}
+        p.poll()
+        return {"phase": p.phase, "filesTotal": p.files_total, "filesDone": p.files_done, "bytesTotal": p.bytes_total, "bytesDone": p.bytes_done, "tasksTotal": p.tasks_total, "tasksDone": p.tasks_done}
 
     def workspace_info(self) -> dict | None:
         if self.workspace is None:

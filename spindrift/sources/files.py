@@ -78,31 +78,39 @@ def matcher(globs: list[str] | tuple[str, ...]):
     return lambda rel: any(m.match(rel) for m in made)
 
 
+def _walk(root: str) -> Iterator[str]:
+    """Paths of the files below a folder; links are followed, but for those to a folder that they stand in."""
+    waiting: list[tuple[str, frozenset[tuple[int, int]]]] = [(root, frozenset())]
+    while waiting:
+        folder, above = waiting.pop()
+        try:
+            info = os.stat(folder)
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            continue
+        here = (info.st_dev, info.st_ino)
+        if here in above:
+            continue
+        for entry in entries:
+            if entry.is_dir():
+                waiting.append((entry.path, above | {here}))
+            else:
+                yield entry.path
+
+
 def discover(root: str, include: list[str] | tuple[str, ...] = (), exclude: list[str] | tuple[str, ...] = ()) -> list[LogFile]:
-    """Log files below ``root``, links followed, by relative path."""
+    """Log files below ``root`` by relative path; a folder that is reached in two ways is read under both names."""
     wanted, unwanted = matcher(include or DEFAULT_INCLUDE), matcher(exclude or DEFAULT_EXCLUDE)
     out = []
-    seen: set[tuple[int, int]] = set()
-    for folder, folders, names in os.walk(root, followlinks=True):
+    for path in _walk(root):
+        rel = os.path.relpath(path, root).replace(os.sep, "/")
+        if not wanted(rel) or unwanted(rel) or not os.path.isfile(path):
+            continue
         try:
-            info = os.stat(folder)
+            info = os.stat(path)
         except OSError:
-            folders.clear()
-            continue
-        if (info.st_dev, info.st_ino) in seen:  # a link back up
-            folders.clear()
             continue
-        seen.add((info.st_dev, info.st_ino))
-        for name in names:
-            path = os.path.join(folder, name)
-            rel = os.path.relpath(path, root).replace(os.sep, "/")
-            if not wanted(rel) or unwanted(rel) or not os.path.isfile(path):
-                continue
-            try:
-                info = os.stat(path)
-            except OSError:
-                continue
-            out.append(LogFile(path, rel, info.st_size, info.st_mtime_ns // 1_000_000, rel.lower().endswith(".gz"), source_of(rel)))
+        out.append(LogFile(path, rel, info.st_size, info.st_mtime_ns // 1_000_000, rel.lower().endswith(".gz"), source_of(rel)))
     return sorted(out, key=lambda f: f.rel)
 
 

@@ -15,10 +15,11 @@ import os
 import shutil
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +69,72 @@ def detected(file: LogFile, settings: FolderSettings) -> tuple[Detection, list[s
     return detect(sample, settings.patterns, context_of(file, settings.zone)), sample
 
 
+def detected_formats(spark: SparkSession, files: list[LogFile], settings: FolderSettings) -> tuple[list[Format], dict[str, str]]:
+    """The format of each file, found where the tasks run, and what went wrong by relative path."""
+    if not files:
+        return [], {}
+    asked = settings.as_dict()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = FolderSettings.of(asked)
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    found.append((json.dumps(detected(LogFile(**json.loads(text)), given)[0].format.as_dict()), None))
+                except (OSError, EOFError, ValueError) as e:
+                    found.append((json.dumps(Format("plain", timestamped=False).as_dict()), f"{type(e).__name__}: {e}"))
+            form, error = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, type=pa.string()), pa.array(error, type=pa.string())], names=["k", "format", "error"])
+
+    rows = spark.createDataFrame([(k, json.dumps(f.as_dict())) for k, f in enumerate(files)], "k long, file string")
+    found = rows.repartition(min(len(files), 1000)).mapInArrow(run, "k long, format string, error string").collect()
+    formats = [Format(**json.loads(r["format"])) for r in sorted(found, key=lambda r: r["k"])]
+    return formats, {files[r["k"]].rel: r["error"] for r in found if r["error"]}
+
+
 def workspace_folder(data_dir: str, root: str) -> str:
     return os.path.join(data_dir, "workspaces", hashlib.sha256(root.encode()).hexdigest()[:20])
 
 
 @dataclass
 class Progress:
-    """Counters that another thread may poll while a folder is opened."""
+    """Counters that another thread may poll while a folder is opened, and a way to end that.
+
+    The last two count what the running phase has to do and has done: files
+    while formats are detected, then parts of files.
+    """
 
     phase: str = "idle"
     files_total: int = 0
     files_done: int = 0
     bytes_total: int = 0
+    bytes_done: int = 0
     cancelled: bool = False
+    tasks_total: int = 0
+    tasks_done: int = 0
+    group: str = field(default_factory=lambda: f"opening-{uuid.uuid4().hex}")
+    context: object = None
+
+    def cancel(self) -> None:
+        self.cancelled = True
+        if self.context is not None:
+            self.context.cancelJobGroup(self.group)
+
+    def poll(self) -> None:
+        """Brings the counts of the running jobs up to date."""
+        if self.context is None or self.phase not in ("detecting", "indexing"):
+            return
+        tracker = self.context.statusTracker()
+        total = done = 0
+        for job in tracker.getJobIdsForGroup(self.group):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info and info.status == "RUNNING" else ():
+                if found := tracker.getStageInfo(stage):
+                    total, done = total + found.numTasks, done + found.numCompletedTasks
+        if total:
+            self.tasks_total, self.tasks_done = total, done
+            self.files_done, self.bytes_done = self.files_total * done // total, self.bytes_total * done // total
 
 
 class Cancelled(RuntimeError):
@@ -113,24 +167,43 @@ class Workspace:
     @staticmethod
     def _build(spark: SparkSession, root: str, folder: str, settings: FolderSettings, files: list[LogFile], progress: Progress) -> Workspace:
         began = time.time()
+        generation = uuid.uuid4().hex
+        into = os.path.join(folder, generation)
         progress.phase, progress.files_total, progress.bytes_total = "detecting", len(files), sum(f.size for f in files)
-        formats, errors = [], {}
-        for f in files:
+        progress.context = spark.sparkContext
+        try:
+            return Workspace._indexed(spark, root, folder, generation, into, settings, files, progress, began)
+        except Exception as e:
+            shutil.rmtree(into, ignore_errors=True)
+            progress.phase = "cancelled" if progress.cancelled else "failed"
+            if progress.cancelled:
+                raise Cancelled from e
+            raise
+        finally:
+            progress.context = None
+
+    @staticmethod
+    def _indexed(spark: SparkSession, root: str, folder: str, generation: str, into: str, settings: FolderSettings, files: list[LogFile], progress: Progress, began: float) -> Workspace:
+        def grouped(job: Callable):
             if progress.cancelled:
                 raise Cancelled
+            spark.sparkContext.setJobGroup(progress.group, f"opening {root}", interruptOnCancel=True)
             try:
-                formats.append(detected(f, settings)[0].format)
-            except (OSError, EOFError) as e:
-                formats.append(Format("plain", timestamped=False))
-                errors[f.rel] = f"{type(e).__name__}: {e}"
-        progress.phase = "indexing"
-        generation = uuid.uuid4().hex
-        into = os.path.join(folder, generation)
-        stored = read_events(spark, files, formats, settings.zone).withColumn("level", F.coalesce("level", F.lit(ERRORS)))
-        writer = stored.sortWithinPartitions("level", "ts").write.partitionBy("level")
-        for c in BLOOM:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.parquet(os.path.join(into, "log_events"))  # each file is read once
+                return job()
+            finally:
+                spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+        formats, errors = grouped(lambda: detected_formats(spark, files, settings))
+        progress.phase, progress.files_done = "indexing", 0
+
+        def store() -> None:
+            read = read_events(spark, files, formats, settings.zone).withColumn("level", F.coalesce("level", F.lit(ERRORS)))
+            writer = read.sortWithinPartitions("level", "ts").write.partitionBy("level")
+            for c in BLOOM:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            writer.parquet(os.path.join(into, "log_events"))  # each file is read once
+
+        grouped(store)
         stored = spark.read.schema(RAW_SCHEMA).parquet(os.path.join(into, "log_events"))
         events = stored.where(F.col("level") != ERRORS)
         jobs = (
@@ -139,7 +212,7 @@ class Workspace:
             lambda: stored.groupBy("file").agg(F.count("ts").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("error").alias("error")).collect(),
         )
         with ThreadPoolExecutor(len(jobs)) as pool:  # independent jobs over one table
-            *_, by_file = [f.result() for f in [pool.submit(j) for j in jobs]]
+            *_, by_file = [f.result() for f in [pool.submit(grouped, j) for j in jobs]]
         errors |= {r["file"]: r["error"] for r in by_file if r["error"]}
         counted = {r["file"]: r["n"] for r in by_file}
         n = sum(counted.values())
@@ -161,7 +234,7 @@ class Workspace:
         for name in os.listdir(folder):  # older generations
             if name not in (generation, "meta.json"):
                 shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
-        progress.phase, progress.files_done = "ready", len(files)
+        progress.phase, progress.files_done, progress.bytes_done = "ready", len(files), progress.bytes_total
         return Workspace(spark, folder, meta)
 
     # -- tables ----------------------------------------------------------------

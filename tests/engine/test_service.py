@@ -10,7 +10,7 @@ SETTINGS = {"patterns": [PATTERN], "timeZone": {"kind": "utc"}}
 @pytest.fixture(scope="module")
 def service(spark, tmp_path_factory):
     logs = tmp_path_factory.mktemp("service-logs")
-    (logs / "app.log").write_text(APP)
+    (logs / "harbor.log").write_text(APP)
     s = Service(spark, str(tmp_path_factory.mktemp("service-data")))
     s.logs = str(logs)
     assert s.call("search", request={})["error"]["message"] == "no folder is open" and s.workspace_info() is None
@@ -31,7 +31,7 @@ def test_folders(service):
 def test_search(service):
     first = service.search({"query": "| logfmt", "limit": 3})
     assert first["total"] == 4 and sum(map(sum, first["histogram"]["buckets"])) == 4 and len(first["rows"]) == 3
-    assert first["rows"][0]["parsed"] == [["took", "20ms"]] and first["rows"][0]["fields"] == [["requestId", "req-3"]]
+    assert first["rows"][0]["parsed"] == [["took", "35ms"]] and first["rows"][0]["fields"] == [["trip", "trip-3"]]
     assert first["eventsScanned"] == 4 and first["filesScanned"] >= 1
     rest = service.search({"query": "| logfmt", "limit": 3, "after": first["next"], "rowsOnly": True})
     assert len(rest["rows"]) == 1 and rest["next"] is None and rest["total"] is None

@@ -3,15 +3,19 @@
 The kernel compares two strings by the subsequences of ``ORDER`` letters that
 they share; an occurrence counts ``DECAY`` to the power of the stretch that it
 spans, so gaps and inserted characters lower a match instead of losing it.
-Strings are the words of sentences: letters folded to a-z behind a start mark,
-other characters dropped, common digit and sign look-alikes read as letters,
-and runs of three or more single letters joined.
-
-Labels are of whole texts, so the strings are labelled first: words and word
-beginnings whose share of the toxic texts of the sample is significantly larger
-than their share of the others (log-likelihood ratio) are the toxic strings;
-words of clean texts the others, and those that a first machine takes for toxic
-are added before the second.  Landmarks are drawn from both; a support vector
+
+The machine learns from sentences, each with the label of its text.  A sentence
+is a bag of windows, its words (and runs of single letters, joined); what it
+says is its window of the largest margin, and a toxic text's toxic sentence is
+the one whose window says most.  So learning alternates: the windows that speak
+for the sentences are chosen by the machine at hand, the machine is trained on
+them.  Windows of toxic texts are the positive examples, each with a weight by
+how many texts it speaks for; windows of sentences of clean texts, the worst
+and some drawn by a hash, the negative ones.  The first choice is made by the
+subsequences alone: each weighs by the likelihood ratio of how many toxic and
+clean texts have it.
+
+Landmarks are windows of both kinds, the weightiest first; a support vector
 machine (squared hinge, Newton's method) is trained on the Nyström features.
 Its normal vector is a weighted sum of landmarks, hence a table of weights by
 subsequence: a new word costs one lookup for each of its subsequences.
@@ -19,22 +23,28 @@ subsequence: a new word costs one lookup for each of its subsequences.
 A text's score is logistic in its largest margin and in how many of its words
 have a positive one, fitted on the sample.
 
-Sample: about ``per_class`` labelled texts of either label, whole, picked by a
-hash of the id (all where there are fewer).  What is collected and broadcast is
-bounded by parameters (``strings``, and a table of 32**ORDER weights).
+Letters are lower-case a-z, others numbered by a hash; accents are letters of
+their own, other characters are dropped, common digit and sign look-alikes read
+as letters.  A window begins with a mark; one of fewer than ``ORDER`` letters
+with it has no subsequence and the margin ``FLOOR``.
+
+Sample: about ``per_class`` labelled texts of either label (twice as many clean
+ones), whole, picked by a hash of the id (all where there are fewer); near
+copies count once.  What is collected and broadcast is bounded by it and by the
+table of 32**ORDER weights.
 
 Texts without words and nulls score as a text with no toxic word.  If only one
 label or none can be learned, all score 0.  Null labels teach nothing; of
-several labels for an id the largest counts.  Long texts are taken whole, words
-over ``LONGEST`` letters in overlapping windows.  Extra columns are ignored.
+several labels for an id the largest counts.  Repeated rows score alike and
+count once in the sample; equal margins and weights are taken in alphabetical
+order; an empty table gives none.  Long texts are taken whole, words over
+``LONGEST`` letters in overlapping windows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations, islice
 
@@ -47,10 +57,9 @@ from .common import by_batch, crc32_mod, discard, spread, written
 ORDER = 4
 DECAY = 0.6
 LONGEST = 20
-LETTERS = 32  # codes of letters: 0 the start, 1-26 a-z, 27-31 all others
+LETTERS = 32  # codes of letters: 0 the start, 1-26 a-z; other letters share 1-31, accents 27-31
 REMEMBERED = 400_000
 FLOOR = -0.5
-WHOLE, BEGINS, BEGINS_TWO = 0, 1, 2  # kinds of tokens counted
 #: Characters read as letters within a word that has letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
@@ -59,6 +68,7 @@ MARKS = "!.,;:?\"'()[]"
 _LOOKS = str.maketrans(LOOKALIKES)
 _HAS_LOOKS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
+_ENDS = re.compile(r"[.!?]+(?=\s)|\n")
 
 
 def folded(word: str) -> str:
@@ -76,7 +86,8 @@ def folded(word: str) -> str:
 def codes(words: list[str]) -> np.ndarray:
     """Rows of letter codes, behind the start, of words of one length."""
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.int64)
-    letters = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 5)
+    others = np.where((points >= 0x300) & (points < 0x370), 27 + points % 5, 1 + (points * 40503 >> 7) % 31)
+    letters = np.where((points >= 97) & (points <= 122), points - 96, others)
     return np.concatenate([np.zeros((len(words), 1), dtype=np.int64), letters], axis=1)
 
 
@@ -175,18 +186,18 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.
     return w
 
 
-def train(positive: list[str], negative: list[str], landmarks: int, seed: int) -> tuple[np.ndarray, float]:
-    """The machine's weights by subsequence, and its bias."""
-    rng = np.random.default_rng(seed)
-    marks = [*positive[: landmarks // 2], *(negative[i] for i in rng.permutation(len(negative))[: landmarks // 2])]
-    words = [*positive, *negative]
+def train(positive: dict[str, float], negative: dict[str, float], landmarks: int) -> tuple[np.ndarray, float]:
+    """The machine's weights by subsequence, and its bias, from windows with their weights."""
+    first = lambda found: sorted(found, key=lambda w: (-found[w], w))
+    marks = list(dict.fromkeys([*first(positive)[: landmarks // 2], *first(negative)[: landmarks // 2]]))
+    words = [*sorted(positive), *sorted(negative)]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    cost = np.array([positive[w] for w in sorted(positive)] + [negative[w] for w in sorted(negative)])
     k = np.stack([against(as_table([m], np.ones(1)), words) for m in marks], axis=1)
     km = np.stack([against(as_table([m], np.ones(1)), marks) for m in marks], axis=1)
     values, vectors = np.linalg.eigh((km + km.T) / 2)
     good = values > 1e-4
     root = vectors[:, good] / np.sqrt(values[good])
-    cost = np.where(y > 0, 10.0 * max(1.0, len(negative) / max(1, len(positive)) / 4), 10.0)
     w = svm(k @ root, y, cost)
     return as_table(marks, root @ w[:-1]), float(w[-1])
 
@@ -238,7 +249,7 @@ class Margins:
         new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
         if new:
             self.margin = np.concatenate([self.margin, self._of([folded(w) for w in new])])
-            self.single = np.concatenate([self.single, np.array([len(w) == 1 for w in new])])
+            self.single = np.concatenate([self.single, np.array([len(w.strip(MARKS)) == 1 for w in new])])
         out = np.zeros((len(texts), 4))
         for k, ids in enumerate(lists):
             margins = self.margin[ids]
@@ -254,8 +265,8 @@ def _joined(words: list[str], single: np.ndarray) -> list[str]:
     """Runs of three or more single letters, joined."""
     out, run = [], []
     for w, one in zip([*words, ""], [*single, False], strict=True):
-        if one and w.isalpha():
-            run.append(w)
+        if one and w.strip(MARKS).isalpha():
+            run.append(w.strip(MARKS))
         else:
             if len(run) >= 3:
                 out.append(folded("".join(run)))
@@ -292,32 +303,108 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     return written(firsts.select("id", "label", "text"), "singles")
 
 
-def _token_counts(sample: DataFrame) -> DataFrame:
-    """``(token, kind, c1, c0)``: texts of either label with a word, with a word that begins so, or with two such words."""
+def sentences(text: str | None) -> list[list[str]]:
+    """Windows of each sentence: folded words of enough letters, and runs of single letters joined."""
+    out = []
+    for part in _ENDS.split((text or "").lower()):
+        words = part.split()
+        found = {p for w in words for p in windows(folded(w))}
+        single = np.array([len(w.strip(MARKS)) == 1 for w in words], dtype=bool)
+        if single.sum() >= 3:
+            found.update(p for w in _joined(words, single) for p in windows(w))
+        if found := sorted(w for w in found if len(w) + 1 >= ORDER):
+            out.append(found)
+    return out
+
+
+def _subsequence_weights(sample: DataFrame, n1: int, n0: int) -> np.ndarray:
+    """A table: signed roots of the likelihood ratio of how many toxic and clean texts have a subsequence."""
 
     def make():
         def run(batch):
-            found: Counter = Counter()
+            counts = np.zeros((2, LETTERS**ORDER), dtype=np.int32)
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {folded(w) for w in set((text or "").lower().split())}
-                words = {w for w in words if 3 <= len(w) <= LONGEST}
-                found.update((w, WHOLE, label) for w in words)
-                begun = Counter(w[:n] for w in words for n in range(4, min(len(w), 9)))
-                found.update((p, BEGINS, label) for p in begun)
-                found.update((p, BEGINS_TWO, label) for p, n in begun.items() if n > 1)
-            if not found:
+                words = sorted({w for found in sentences(text) for w in found})
+                if words:
+                    here = np.unique(np.concatenate([np.unique(numbers) for _, numbers, _ in by_length(words)]))
+                    counts[label, here] += 1
+            at = np.nonzero(counts.any(axis=0))[0]
+            return {"s": at, "c1": counts[1, at], "c0": counts[0, at]} if len(at) else None
+
+        return run
+
+    found = by_batch(sample.select("label", "text"), "s long, c1 long, c0 long", make).groupBy("s").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).toArrow()  # at most 32**ORDER rows
+    s, c1, c0 = (found[x].to_numpy().astype(np.float64) for x in ("s", "c1", "c0"))
+    both, share = c1 + c0, n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(c1 > 0, c1 * np.log(c1 / (both * share)), 0) + np.where(c0 > 0, c0 * np.log(c0 / (both * (1 - share))), 0))
+    table = np.zeros(LETTERS**ORDER, dtype=np.float32)
+    table[s.astype(np.int64)] = np.sign(c1 / n1 - c0 / n0) * np.sqrt(np.maximum(ratio, 0))
+    return table
+
+
+def _speaking(sample: DataFrame, table: np.ndarray, bias: float, most: int = 3, drawn: int = 4) -> DataFrame:
+    """``(label, id, word, place)``: the windows that speak for a text's sentences, the loudest sentence at place 0; of clean texts also some drawn ones, at place -1."""
+    shared = sample.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        import xxhash
+
+        known: dict[str, float] = {}
+
+        def run(batch):
+            rows = []
+            texts = [sentences(t) for t in batch.column(2).to_pylist()]
+            new = sorted({w for bags in texts for bag in bags for w in bag} - known.keys())
+            known.update(zip(new, (against(shared.value, new) + bias).tolist() if new else (), strict=True))
+            for key, label, bags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                loudest = sorted({min(bag, key=lambda w: (-known[w], w)) for bag in bags}, key=lambda w: (-known[w], w))
+                rows += [(label, key, w, n) for n, w in enumerate(loudest[:most])]
+                if label == 0:
+                    every = {w for bag in bags for w in bag}
+                    rows += [(label, key, w, -1) for w in sorted(every, key=lambda w: xxhash.xxh64_intdigest(w, 3))[:drawn]]
+            if len(known) > REMEMBERED:
+                known.clear()
+            if not rows:
                 return None
-            token, kind, label = zip(*found, strict=True)
-            c = list(found.values())
-            return {"token": token, "kind": kind, "c1": [n * (x == 1) for n, x in zip(c, label, strict=True)], "c0": [n * (x == 0) for n, x in zip(c, label, strict=True)]}
+            label, key, word, place = zip(*rows, strict=True)
+            return {"label": label, "id": key, "word": word, "place": place}
 
         return run
 
-    return by_batch(sample.select("label", "text"), "token string, kind int, c1 long, c0 long", make).groupBy("token", "kind").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    return by_batch(sample.select("id", "label", "text"), "label int, id long, word string, place int", make)
+
 
+def _examples(speaking: DataFrame, strings: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of positive and of negative windows.
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1_500, strings: int = 4_000, landmarks: int = 240, significance: float | None = None, lift: float = 8.0, seed: int = 29) -> Model | None:
-    """A model from the labelled rows of ``docs``; None where either label is missing or no word tells them apart."""
+    How sure it is that a window of toxic texts says why they are toxic: by the
+    share of all windows of either label that say the like (a sum of kernels,
+    without the window itself).  It weighs by that and by its texts; both
+    labels weigh the same in all.
+    """
+    is_ = lambda c, n: F.sum(F.when(F.expr(c), 1).otherwise(0)).alias(n)
+    found = speaking.groupBy("word").agg(is_("label = 1", "p"), is_("label = 0 AND place >= 0", "n"), is_("label = 0 AND place < 0", "drawn")).orderBy("word").collect()  # at most seven windows for each text of the sample
+    said = [r for r in found if r["p"]]
+    if not said:
+        return {}, {}
+    total = {name: sum(r[name] for r in found) for name in ("p", "n")}
+    like = {}
+    for name in ("p", "n"):
+        rows = [r for r in found if r[name]]
+        table = as_table([r["word"] for r in rows], np.array([float(r[name]) for r in rows])) if rows else np.zeros(LETTERS**ORDER, dtype=np.float32)
+        like[name] = against(table, [r["word"] for r in said]) / max(total[name], 1)
+    toxic = np.maximum(like["p"] - 1 / total["p"], 0)
+    sure = np.clip(2 * toxic / (toxic + like["n"] + 1 / total["p"]) - 1, 0, 1)
+    balance = max(1.0, total["n"] / total["p"])
+    positive = {r["word"]: balance * float(x) * min(r["p"], 20) for r, x in zip(said, sure, strict=True) if x > 0.05}
+    negative = {r["word"]: max(float(r["n"]), 0.5) for r in found if r["n"] or r["drawn"]}
+    first = lambda d: dict(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:strings])
+    return first(positive), first(negative)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 1_500, strings: int = 6_000, landmarks: int = 240, rounds: int = 2, seed: int = 29) -> Model | None:
+    """A model from the labelled rows of ``docs``; None where either label is missing or no window speaks for toxic texts."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     have = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     if not have.get(1) or not have.get(0):
@@ -327,34 +414,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     sample = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text"), "labelled")
     sample = one_of_copies(sample)
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    if not n.get(1) or not n.get(0):
         return None
-    tokens = written(_token_counts(sample), "tokens")
-    c1, c0 = F.col("c1").cast("double"), F.col("c0").cast("double")
-    both = c1 + c0
-    least = max(16.0, 2 * math.log(max(tokens.count(), 1)) - 4) if significance is None else significance
-    ratio = 2 * (c1 * F.log(c1 * (n1 + n0) / (both * n1)) + F.when(c0 > 0, c0 * F.log(c0 * (n1 + n0) / (both * n0))).otherwise(0.0))
-    telling = tokens.where((c1 >= 4) & (c1 / n1 >= lift * c0 / n0)).withColumn("g", ratio).where(F.col("g") > least).orderBy(F.desc("g"), "token").limit(500).collect()
-    if not telling:
-        return None
-    wholes = {r["token"]: r["c1"] for r in telling if r["kind"] == WHOLE}
-    # a beginning that one whole word accounts for says nothing of others that begin so
-    starts = sorted({r["token"] for r in telling if r["kind"] != WHOLE and not any(w.startswith(r["token"]) and c >= 0.7 * r["c1"] for w, c in wholes.items())})
-    clean_words = tokens.where(F.col("kind") == WHOLE)
-    is_toxic = F.col("token").isin(sorted(wholes))
-    if starts:
-        is_toxic = is_toxic | F.col("token").rlike("^(?:" + "|".join(starts) + ")")
-    positive = [r["token"] for r in clean_words.where(is_toxic & (c1 > 0) & (c1 / n1 >= 2 * c0 / n0)).orderBy(F.desc("c1"), "token").limit(strings // 4).collect()]
-    pool = [r["token"] for r in clean_words.where(~is_toxic & (c0 > 0)).orderBy(F.xxhash64("token"), "token").limit(15 * strings).select("token").collect()]
-    common = [r["token"] for r in clean_words.where(~is_toxic & (c0 > 0)).orderBy(F.desc("c0"), "token").limit(strings // 4).select("token").collect()]
-    discard(tokens)
-    negative = [*common, *pool[: strings // 4]]
-    table, bias = train(positive, negative, landmarks, seed)
-    if pool:  # what the first machine takes for toxic is learned as clean
-        margin = against(table, [p[:LONGEST] for p in pool]) + bias
-        hard = [pool[i] for i in np.argsort(-margin)[: strings // 4]]
-        table, bias = train(positive, list(dict.fromkeys([*hard, *negative])), landmarks, seed)
+    table, bias = _subsequence_weights(sample, n[1], n[0]), 0.0
+    for _ in range(rounds):
+        positive, negative = _examples(_speaking(sample, table, bias), strings)
+        if not positive or not negative:
+            return None
+        table, bias = train(positive, negative, landmarks)
     found = _features(sample, table, bias).collect()
     x = np.array([r["f"] for r in found])
     y = np.array([r["label"] for r in found], dtype=float)
@@ -377,9 +444,10 @@ def _features(sample: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic regression, both classes of equal weight, by Newton's method with a ridge."""
+    """Weights of a logistic regression, classes weighing by the root of their sizes, by Newton's method with a ridge."""
     w = np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * 100
+    a, b = np.sqrt(max(y.sum(), 1)), np.sqrt(max((1 - y).sum(), 1))
+    weight = np.where(y > 0, 1 / a, 1 / b) / (a + b) * 100
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + 0.02 * w

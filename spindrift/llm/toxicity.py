@@ -171,6 +171,27 @@ def as_table(words: list[str], amounts: np.ndarray) -> np.ndarray:
     return table.astype(np.float32)
 
 
+def kernels(words: list[str], marks: list[str]) -> np.ndarray:
+    """Normalised kernels of each word with each mark, each word's subsequences looked up once for all marks."""
+    place = np.zeros(LETTERS**ORDER, dtype=np.int32)
+    parts = [(at, numbers, weight / norms(numbers, weight)[:, None]) for at, numbers, weight in by_length(marks)]
+    held = np.unique(np.concatenate([numbers.ravel() for _, numbers, _ in parts]))
+    place[held] = np.arange(1, len(held) + 1)
+    table = np.zeros((len(held) + 1, len(marks)), dtype=np.float32)  # row 0: subsequences that no mark has
+    for at, numbers, weight in parts:
+        np.add.at(table, (place[numbers], at[:, None]), weight)
+    table[0] = 0
+    out = np.zeros((len(words), len(marks)))
+    for at, numbers, weight in by_length(words):
+        if not numbers.shape[1]:
+            continue
+        size, step = norms(numbers, weight), max(1, 8_000_000 // (numbers.shape[1] * len(marks)))
+        for k in range(0, len(at), step):
+            rows = table[place[numbers[k : k + step]]]
+            out[at[k : k + step]] = np.einsum("wsm,s->wm", rows, weight, optimize=True) / size[k : k + step, None]
+    return out
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Primal squared-hinge SVM by Newton's method; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -193,8 +214,7 @@ def train(positive: dict[str, float], negative: dict[str, float], landmarks: int
     words = [*sorted(positive), *sorted(negative)]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     cost = np.array([positive[w] for w in sorted(positive)] + [negative[w] for w in sorted(negative)])
-    k = np.stack([against(as_table([m], np.ones(1)), words) for m in marks], axis=1)
-    km = np.stack([against(as_table([m], np.ones(1)), marks) for m in marks], axis=1)
+    k, km = kernels(words, marks), kernels(marks, marks)
     values, vectors = np.linalg.eigh((km + km.T) / 2)
     good = values > 1e-4
     root = vectors[:, good] / np.sqrt(values[good])

@@ -28,6 +28,7 @@ def test_kernel_equals_the_recursion(a, b):
     s, t = ([0, *(ord(c) - 96 for c in w)] for w in (a, b))
     want = kernel(s, t, 4, 0.6) / np.sqrt(kernel(s, s, 4, 0.6) * kernel(t, t, 4, 0.6))
     assert abs(tox.against(tox.as_table([a], np.ones(1)), [b])[0] - want) < 1e-6
+    assert np.allclose(tox.kernels([b, a, "zz", "other"], [a, "other"])[:3], [[want, 0], [1, 0], [0, 0]], atol=1e-5) or want == 0
 
 
 def test_folding():

@@ -18,14 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset: a temporary folder on a single machine, on a cluster one
+    in the default file system.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spindrift-")
+    else:
+        home = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getHomeDirectory()
+        if home.toUri().getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{home.toString()}/.spindrift-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -122,8 +133,16 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, struct)
 
 
-def appended(df: DataFrame, inputs: dict[str, str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], prefix: str = "_new_") -> DataFrame:
-    """``df`` with the columns that a batch function makes, one value a row, named with ``prefix``.
+def free_prefix(df: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    prefix = "_new_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def appended(df: DataFrame, inputs: dict[str, str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], prefix: str) -> DataFrame:
+    """``df`` with the columns that a batch function makes, one value a row, named with ``prefix``, which is free.
 
     inputs: columns that the function gets, in order, and the types that they are cast to.
     """
@@ -143,7 +162,7 @@ def appended(df: DataFrame, inputs: dict[str, str], schema: str, make: Callable[
             new = [c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=t) for f, t in zip(added.fields, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[f.name for f in struct.fields])
 
-    return df.select("*", *(F.col(c).cast(t).alias(f"_in_{k}") for k, (c, t) in enumerate(inputs.items()))).mapInArrow(run, struct)
+    return df.select("*", *(F.col(c).cast(t).alias(f"{prefix}in_{k}") for k, (c, t) in enumerate(inputs.items()))).mapInArrow(run, struct)
 
 
 def _arrow_type(kind) -> pa.DataType:

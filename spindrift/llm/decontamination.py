@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, by_batch
+from .common import appended, by_batch, free_prefix
 
 OTHER = re.compile(r"[\W_]+")
 GRAM = 8
@@ -175,8 +175,9 @@ def _clean(docs: DataFrame, id_col: str, text_col: str, items: list[tuple], rate
 
         return run
 
-    flagged = appended(docs, {id_col: "long", text_col: "string"}, "items int", make)
-    return flagged.where("_new_items = 0").select(*docs.columns)
+    prefix = free_prefix(docs)
+    flagged = appended(docs, {id_col: "long", text_col: "string"}, "items int", make, prefix)
+    return flagged.where(F.col(f"{prefix}items") == 0).select(*docs.columns)
 
 
 def item_parts(benchmark: DataFrame, item_col: str, item_text_col: str, part_chars: int) -> Iterator[list[tuple]]:

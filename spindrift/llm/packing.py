@@ -29,9 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, unsigned_crc, written
-
-SALTS = 64
+from .common import by_batch, fresh, unsigned_crc, written
 
 
 # -- tokens ------------------------------------------------------------------
@@ -288,29 +286,35 @@ def placed(where: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -
 # -- the operator ------------------------------------------------------------
 
 
-def pack(cut: DataFrame, capacity: int = 1024, nodes: int = 4_000) -> DataFrame:
-    """``cut`` (columns id, piece, length and any others) with ``sequence_id`` and ``offset``."""
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
-    parts = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity x SALTS rows
-    totals = parts.groupBy("length").agg(F.sum("n").alias("n")).collect()
+def pack(cut: DataFrame, capacity: int = 1024, nodes: int = 4_000, per_salt: int = 250_000) -> DataFrame:
+    """``cut`` (columns id, piece, length and any others) with ``sequence_id`` and ``offset``.
+
+    Pieces of one length are numbered in parts of about ``per_salt``, however
+    many there are; pieces that are alike in every column are numbered in one.
+    """
+    salt, rank, before = fresh(cut, "salt", "rank", "before")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in totals:
+    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["n"]
     where = placements(complete(counts, capacity, nodes), capacity)
-    before = parts.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("id", "piece"))).join(F.broadcast(before), ["length", "_salt"])
+    parts = F.element_at(F.lit([int(-(-n // per_salt)) or 1 for n in counts]), F.col("length").cast("int") + 1)
+    salted = cut.withColumn(salt, F.pmod(F.xxhash64(*(c for c in cut.columns)), parts).cast("long"))
+    sizes = written(salted.groupBy("length", salt).agg(F.count("*").alias("n")), "lengths")  # capacity + pieces / per_salt rows
+    start = sizes.select("length", salt, (F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).alias(before))
+    start = F.broadcast(start) if int(counts.sum()) // per_salt < 1_000_000 else start
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("id", "piece"))).join(start, ["length", salt])
     names = cut.columns
 
     def make():
         def run(batch):
-            length, rank, start = (batch.column(n).to_numpy() for n in ("length", "_rank", "_before"))
-            sequence, offset = placed(where, length, rank - 1 + start)
+            length, number, begin = (batch.column(n).to_numpy() for n in ("length", rank, before))
+            sequence, offset = placed(where, length, number - 1 + begin)
             return {n: batch.column(n) for n in names} | {"sequence_id": sequence, "offset": offset}
 
         return run
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return by_batch(ranked.select(*names, "_rank", "_before"), f"{schema}, sequence_id long, offset long", make)
+    return by_batch(ranked.select(*names, rank, before), f"{schema}, sequence_id long, offset long", make)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, with_ids: bool = False, nodes: int = 4_000) -> DataFrame:

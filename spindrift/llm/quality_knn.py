@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, by_batch, crc32_mod, spread, text_bytes
+from .common import appended, by_batch, crc32_mod, free_prefix, spread, text_bytes
 
 SHAPES = 256
 BLOCK = 512
@@ -204,8 +204,9 @@ def kept_documents(docs: DataFrame, model: Model | None, least: float = 0.3, id_
     """The rows of ``docs`` that score ``least`` or more, as they are; all of them without a model."""
     if model is None:
         return docs
-    scored = appended(docs, {id_col: "long", text_col: "string"}, SCORE, scorer(docs.sparkSession, model, neighbours, power))
-    return scored.where(F.col("_new_score") >= least).select(*docs.columns)
+    prefix = free_prefix(docs)
+    scored = appended(docs, {id_col: "long", text_col: "string"}, SCORE, scorer(docs.sparkSession, model, neighbours, power), prefix)
+    return scored.where(F.col(f"{prefix}score") >= least).select(*docs.columns)
 
 
 def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, by_batch, text_bytes
+from .common import appended, by_batch, free_prefix, text_bytes
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -194,8 +194,9 @@ def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 8, **limits) -> DataFrame:
     """The rows of ``docs`` that pass, as they are."""
-    measured = judged(appended(docs, {id_col: "long", text_col: "string"}, MEASURES, measurer(least)), prefix="_new_", **limits)
-    return measured.where("_new_kept").select(*docs.columns)
+    prefix = free_prefix(docs)
+    measured = judged(appended(docs, {id_col: "long", text_col: "string"}, MEASURES, measurer(least), prefix), prefix=prefix, **limits)
+    return measured.where(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir):

@@ -14,7 +14,8 @@ No task gets more than a range, and the driver sees the bounded sample, one row
 for each range and at most one group for each cut.
 
 Null texts have size 1 (no bytes plus 1); records without an id come first
-among equal texts.  Identical records are ordered arbitrarily among themselves.
+among equal texts, each with a number of its own, so any number of them can be
+split.  Identical records are ordered arbitrarily among themselves.
 Extra columns are kept by ``shard`` and ignored by the query.  An empty table
 gives no rows.
 """
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, spread, written
+from .common import by_batch, fresh, spread, written
 
 
 def range_numbers(keys: np.ndarray, ties: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -62,50 +63,54 @@ def shard(records: DataFrame, shards: int = 8, id_col: str = "doc_id", key_col:
     sample_per_range records for each.
     """
     names = records.columns
-    keyed = records.withColumn("_tie", F.xxhash64(F.col(id_col)))
+    tie, number, row, to, end, begin, place, n_before, b_before = fresh(records, "tie", "range", "row", "to", "end", "begin", "place", "rows_before", "bytes_before")
+    keyed = records.withColumn(tie, F.xxhash64(F.col(id_col)))
+    if records.where(F.col(id_col).isNull()).limit(1).count():
+        # records without an id may be alike in everything: a number each, written so that it stays
+        keyed = written(keyed.withColumn(tie, F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(tie))), "ties")
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum(size_col), F.lit(0))).first()
     ranges = int(max(256, min(16_384, rows // per_range)))
     share = F.col(size_col) * F.lit(ranges * sample_per_range / max(total, 1))
-    drawn = keyed.where(spread(F.struct(id_col, key_col), seed) < share).select(key_col, "_tie").toPandas()
+    drawn = keyed.where(spread(F.struct(tie, key_col), seed) < share).select(key_col, tie).toPandas()
     cuts = splitters_of(drawn.to_numpy(dtype=np.int64), ranges)
     ordered_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    at_key, at_tie = keyed.columns.index(key_col), keyed.columns.index("_tie")
+    at_key, at_tie = keyed.columns.index(key_col), keyed.columns.index(tie)
 
     def make():
         def run(batch):
-            number = range_numbers(batch.column(at_key).to_numpy(), batch.column(at_tie).to_numpy(), cuts)
-            return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"_range": number}
+            found = range_numbers(batch.column(at_key).to_numpy(), batch.column(at_tie).to_numpy(), cuts)
+            return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {number: found}
 
         return run
 
-    ranged = by_batch(keyed, f"{ordered_schema}, _range long", make)
-    by_range = Window.partitionBy("_range").orderBy(key_col, "_tie", id_col)
-    inner = written(ranged.withColumn("_row", F.row_number().over(by_range)).withColumn("_to", F.sum(size_col).over(by_range.rowsBetween(Window.unboundedPreceding, 0))), "ranges")
-    stats = inner.groupBy("_range").agg(F.count("*").alias("n"), F.sum(size_col).alias("b")).orderBy("_range").toPandas()
-    stats["rows_before"] = stats.n.cumsum() - stats.n
-    stats["bytes_before"] = stats.b.cumsum() - stats.b
-    before = records.sparkSession.createDataFrame(stats[["_range", "rows_before", "bytes_before"]].astype("int64"), "_range long, rows_before long, bytes_before long")
+    ranged = by_batch(keyed, f"{ordered_schema}, `{number}` long", make)
+    by_range = Window.partitionBy(number).orderBy(key_col, tie, id_col)
+    inner = written(ranged.withColumn(row, F.row_number().over(by_range)).withColumn(to, F.sum(size_col).over(by_range.rowsBetween(Window.unboundedPreceding, 0))), "ranges")
+    stats = inner.groupBy(number).agg(F.count("*").alias("n"), F.sum(size_col).alias("b")).orderBy(number).toPandas()
+    stats[n_before] = stats.n.cumsum() - stats.n
+    stats[b_before] = stats.b.cumsum() - stats.b
+    before = records.sparkSession.createDataFrame(stats[[number, n_before, b_before]].astype("int64"), f"{number} long, {n_before} long, {b_before} long")
     # one row for each range, 16,384 at most
-    placed = inner.join(F.broadcast(before), "_range").withColumn("_end", F.col("_to") + F.col("bytes_before")).withColumn("_begin", F.col("_end") - F.col(size_col)).withColumn("_number", F.col("_row") + F.col("rows_before") - 1)
+    placed = inner.join(F.broadcast(before), number).withColumn(end, F.col(to) + F.col(b_before)).withColumn(begin, F.col(end) - F.col(size_col)).withColumn(place, F.col(row) + F.col(n_before) - 1)
 
     points = cut_points(total, shards)
     inside = F.lit(False)
     for p in points:
-        inside = inside | ((F.col("_begin") < p) & (F.col("_end") > p))
+        inside = inside | ((F.col(begin) < p) & (F.col(end) > p))
     # at most one record, and so one group, for each cut; its range holds the group or the group is larger than that
     hit = [r[0] for r in placed.where(inside).select(key_col).distinct().collect()]
-    groups = placed.where(F.col(key_col).isin(hit)).groupBy(key_col).agg(F.min("_begin"), F.max("_end")).collect() if hit else []
+    groups = placed.where(F.col(key_col).isin(hit)).groupBy(key_col).agg(F.min(begin), F.max(end)).collect() if hit else []
     for _, low, high in groups:
         if high - low <= total / shards * whole_percent / 100:
             points = [(low if p - low < high - p else high) if low < p < high else p for p in points]
-    middle = (F.col("_begin") + F.col("_end")) / 2
-    number = sum(((middle > p).cast("int") for p in points), F.lit(0))
-    cut = placed.withColumn("shard", number.cast("int"))
-    first = {r["shard"]: r["n"] for r in cut.groupBy("shard").agg(F.min("_number").alias("n")).collect()}
+    middle = (F.col(begin) + F.col(end)) / 2
+    dealt = sum(((middle > p).cast("int") for p in points), F.lit(0))
+    cut = placed.withColumn("shard", dealt.cast("int"))
+    first = {r["shard"]: r["n"] for r in cut.groupBy("shard").agg(F.min(place).alias("n")).collect()}
     start = F.lit(0)
     for k, n in first.items():
         start = F.when(F.col("shard") == k, F.lit(n)).otherwise(start)
-    return cut.select(*names, "shard", (F.col("_number") - start).cast("long").alias("slot"))
+    return cut.select(*names, "shard", (F.col(place) - start).cast("long").alias("slot"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

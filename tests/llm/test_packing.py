@@ -99,3 +99,20 @@ def test_ids_are_kept_on_demand(spark):
     df = spark.createDataFrame([(1, "hello there"), (2, None)], "doc_id long, text string")
     got = {r.id: r.ids for r in packing.pack_documents(df, with_ids=True).collect()}
     assert got == {1: [*Tokenizer.from_file(JSON).encode("hello there").ids, 2], 2: [2]}
+
+
+def test_many_pieces_of_a_length_are_numbered_in_parts(spark):
+    rows = [(k if k % 3 else None, 0, (512, 300, 212)[k % 3], k, "s") for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, piece int, length long, salt_0 long, _rank string")
+    got = packing.pack(df, per_salt=50)
+    assert got.columns == [*df.columns, "sequence_id", "offset"]
+    fill = {}
+    for r in got.collect():
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(fill) == 300 and sum(map(len, fill.values())) == 900
+    for pieces in fill.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 1024

@@ -59,3 +59,14 @@ def test_odd_rows(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(sharding.sized(df.limit(0))).count() == 0
+
+
+def test_records_without_ids_are_split_and_names_may_clash(spark):
+    rows = [(None, 5, 10, "x", 1, 2)] * 3000 + [(k, k % 50, 10, "y", 3, 4) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, key long, size long, tie_0 string, _range long, row_0 long")
+    got = sharding.shard(df)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    found = got.collect()
+    count = collections.Counter(r.shard for r in found)
+    assert len(found) == 4000 and set(count) == set(range(8)) and max(count.values()) - min(count.values()) <= 60
+    assert sum(r.tie_0 == "x" and r._range == 1 and r.row_0 == 2 for r in found) == 3000

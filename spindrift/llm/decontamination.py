@@ -15,7 +15,8 @@ broadcast has a fixed bound however large the benchmark is.  Items of fewer than
 without letters or digits match nothing.
 
 Null and empty texts match nothing; a repeated document is reported each time it
-occurs, a repeated item under each of its ids.  Extra columns are ignored.
+occurs, a repeated item under each of its ids; of spans with equally few edits
+the first is given.  An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

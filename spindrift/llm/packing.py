@@ -289,17 +289,18 @@ def placed(where: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -
 def pack(cut: DataFrame, capacity: int = 1024, nodes: int = 4_000, per_salt: int = 250_000) -> DataFrame:
     """``cut`` (columns id, piece, length and any others) with ``sequence_id`` and ``offset``.
 
-    Pieces of one length are numbered in parts of about ``per_salt``, however
-    many there are; pieces that are alike in every column are numbered in one.
+    Pieces of one length are numbered in parts of at most about ``per_salt``,
+    and in some 64 where there are enough; pieces that are alike in every column
+    are numbered in one.
     """
     salt, rank, before = fresh(cut, "salt", "rank", "before")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["n"]
     where = placements(complete(counts, capacity, nodes), capacity)
-    parts = F.element_at(F.lit([int(-(-n // per_salt)) or 1 for n in counts]), F.col("length").cast("int") + 1)
+    parts = F.element_at(F.lit([int(max(-(-n // per_salt), min(64, n // 16), 1)) for n in counts]), F.col("length").cast("int") + 1)
     salted = cut.withColumn(salt, F.pmod(F.xxhash64(*(c for c in cut.columns)), parts).cast("long"))
-    sizes = written(salted.groupBy("length", salt).agg(F.count("*").alias("n")), "lengths")  # capacity + pieces / per_salt rows
+    sizes = written(salted.groupBy("length", salt).agg(F.count("*").alias("n")), "lengths")  # 64 x capacity + pieces / per_salt rows at most
     start = sizes.select("length", salt, (F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).alias(before))
     start = F.broadcast(start) if int(counts.sum()) // per_salt < 1_000_000 else start
     ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("id", "piece"))).join(start, ["length", salt])

@@ -15,8 +15,9 @@ fixed bound (2 * per_class * dimensions floats), which is checked.
 
 A text without words has no direction and scores 0, as does everything if
 nothing is labelled.  Null labels teach nothing; of several labels for an id
-the largest counts.  Texts of any length are taken whole.  Repeated rows get
-equal scores; extra columns are ignored.
+the largest counts.  Labelled vectors that are equally near at the last place
+share it.  Texts of any length are taken whole.  Repeated rows get equal scores,
+an empty table none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,13 +156,21 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 
 def vote(vectors: np.ndarray, model: Model, neighbours: int, power: int) -> np.ndarray:
-    """Labels of the nearest labelled vectors, weighted by similarity; 0 for rows without direction."""
+    """Labels of the nearest labelled vectors, weighted by similarity; 0 for rows without direction.
+
+    Vectors that tie for the last places share them.
+    """
     near = vectors @ model.vectors.T
     k = min(neighbours, near.shape[1])
-    at = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-    weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** power
-    total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * model.labels[at]).sum(axis=1) / np.maximum(total, 1e-12), 0.0)
+    last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    row, at = np.nonzero(near >= last[:, None])
+    value = near[row, at]
+    above = value > last[row]
+    n_above = np.bincount(row, weights=above, minlength=len(near))
+    share = (k - n_above) / np.maximum(np.bincount(row, weights=~above, minlength=len(near)), 1)
+    weight = np.maximum(value, 0).astype(np.float64) ** power * np.where(above, 1.0, share[row])
+    total = np.bincount(row, weights=weight, minlength=len(near))
+    return np.where(total > 0, np.bincount(row, weights=weight * model.labels[at], minlength=len(near)) / np.maximum(total, 1e-12), 0.0)
 
 
 SCORE = "id long, score double"

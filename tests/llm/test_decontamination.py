@@ -71,3 +71,24 @@ def test_odd_rows(spark):
     assert (4, 0, len(item) - 1) in spans and (7, 2, len(item) + 1) in spans and (1, 200000, 200000 + len(item) - 1) in spans
     assert sorted(((r.id or 0, r.item_id, r.distance) for r in dec.find_items(docs, bench, part_chars=60).collect())) == got
     assert dec.find_items(docs.limit(0), bench).count() == dec.find_items(docs, bench.limit(0)).count() == 0
+
+
+def test_whole_query_equals_a_search_for_every_item(spark):
+    d = "/root/testdata/sf0.001"
+    items = [(r.item_id, dec.normalised(r.text or "")) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        text = dec.normalised(r.text or "")
+        for k, item in items:
+            distance = dec.myers(item, text)[0] if item and text else len(item) + 1
+            if item and distance <= len(item) // 10:
+                want.add((r.doc_id, k, distance))
+    assert all(len(x) >= 24 for _, x in items)
+    assert {(r.doc_id, r.item_id, r.distance) for r in dec.op9_decontamination(spark, d).collect()} == want and want
+
+
+def test_names_may_clash(spark):
+    item = "a passage of several words that stands in a benchmark"
+    docs = spark.createDataFrame([(1, item, 3, "a"), (2, "something else", 4, "b")], "doc_id long, text string, _new_items int, _in_0 string")
+    left = dec.clean_documents(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "something else", 4, "b")]

@@ -42,3 +42,48 @@ def test_odd_rows(spark):
     nothing = knn.learn(docs, labels.limit(0), "quality")
     assert {r.score for r in knn.score(docs, nothing).collect()} == {0.0}
     assert knn.score(docs.limit(0), None).count() == 0
+
+
+def test_ties_share_the_last_places():
+    vectors = np.array([[1.0, 0], [0, 1.0], [0, 1.0], [0, 1.0]])
+    model = knn.Model(0, np.zeros(1), np.zeros(1), vectors, np.array([1.0, 0.0, 1.0, 1.0]))
+    row = np.array([[0.8, 0.6]])
+    got = knn.vote(row, model, 2, 2)[0]
+    assert abs(got - (0.64 + 0.36 * 2 / 3) / (0.64 + 0.36)) < 1e-12
+    assert knn.vote(row, knn.Model(0, np.zeros(1), np.zeros(1), vectors[[3, 2, 1, 0]], np.array([1.0, 1.0, 0.0, 1.0])), 2, 2)[0] == got
+
+
+def plain_row(text, idf, words=2048):
+    """Shapes and weighted words of a text, each of unit length, by plain loops."""
+    shapes, count, before = np.zeros(knn.SHAPES), np.zeros(words), None
+    for w in (text or "").encode().split():
+        shapes[knn.SHAPES - 1 if w == before else zlib.crc32(knn.shape(w)) % (knn.SHAPES - 1)] += 1
+        count[zlib.crc32(w.lower()) % words] += 1
+        before = w
+    block = lambda v, share: v / (np.linalg.norm(v) or 1) * share
+    return np.concatenate([block(shapes, 0.9), block(np.log1p(count) * idf, 0.436)])
+
+
+def test_query_equals_a_plain_version(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(k for k in labels if k in texts)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = knn.learn(docs, knn.learnable(spark.read.parquet(f"{d}/labels.parquet")), "quality")
+    df = np.zeros(2048)
+    for k in ids:
+        df[list({zlib.crc32(w.lower()) % 2048 for w in (texts[k] or "").encode().split()})] += 1
+    idf = np.log((1 + len(ids)) / (1 + df))
+    assert np.allclose(model.idf, idf, atol=1e-5) and model.labels.tolist() == [labels[k] for k in ids]
+    x = np.stack([plain_row(texts[k], idf) for k in ids])
+    singular = np.linalg.svd(x, compute_uv=False)[: model.space.shape[1]]
+    assert np.allclose(model.space.T @ model.space, np.eye(model.space.shape[1]), atol=1e-3)
+    assert np.linalg.norm(x @ model.space) >= 0.998 * np.linalg.norm(singular)
+    vectors = [v / (np.linalg.norm(v) or 1) for v in x @ model.space]
+    for r in knn.op6_quality_classifier(spark, d).collect():
+        v = plain_row(texts[r.doc_id], idf) @ model.space
+        v = v / (np.linalg.norm(v) or 1)
+        near = sorted(((float(v @ u), labels[k]) for u, k in zip(vectors, ids, strict=True)), reverse=True)[:25]
+        total = sum(max(s, 0) ** 8 for s, _ in near)
+        assert abs(r.score - (sum(max(s, 0) ** 8 * y for s, y in near) / total if total else 0)) < 5e-3

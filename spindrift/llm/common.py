@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TEXTS = 1_000  # whole texts that a worker turns into columns at a time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,8 +125,15 @@ def release() -> None:
         trim(0)
 
 
-def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
-    """``mapInArrow`` with a function made once per task; it turns a batch into columns of ``schema``."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows (None: as they are), without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows or max(batch.num_rows, 1)):
+            yield batch.slice(at, rows or batch.num_rows)
+
+
+def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` with a function made once per task; it turns a batch (of at most ``rows``) into columns of ``schema``."""
     from pyspark.sql.types import _parse_datatype_string
 
     struct = _parse_datatype_string(schema)
@@ -131,9 +141,7 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, rows):
             columns = function(batch)
             if columns is None:
                 continue
@@ -167,9 +175,7 @@ def appended(df: DataFrame, inputs: dict[str, str], schema: str, make: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, TEXTS):
             out = function(pa.RecordBatch.from_arrays(batch.columns[width:], names=names))
             new = [c if isinstance(c := out[f.name], pa.Array) else pa.array(c, type=t) for f, t in zip(added.fields, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[f.name for f in struct.fields])

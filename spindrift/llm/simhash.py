@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, kept_rows, text_bytes, written
+from .common import TEXTS, by_batch, kept_rows, text_bytes, written
 from .components import connected_components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), _hash(text_col), F.col(text_col).cast("string")), "id long, hash long, fp long", make)
+    return by_batch(docs.select(F.col(id_col).cast("long"), _hash(text_col), F.col(text_col).cast("string")), "id long, hash long, fp long", make, TEXTS)
 
 
 def _hash(text_col: str) -> Column:

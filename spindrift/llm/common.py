@@ -72,6 +72,15 @@ def discard(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    Spark would decide by the size of compressed files, which rows that explode
+    or repeat outgrow many times, and fill the driver with them.
+    """
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each with a tail that no column of ``df`` has."""
     have = {c.lower() for c in df.columns}
@@ -98,11 +107,11 @@ def kept_rows(docs: DataFrame, id_col: str, text_hash: Column, rows: DataFrame,
     side = gone.select(i, h)
     hashed = docs.withColumns({i: F.col(id_col).cast("long"), h: text_hash})
     at = lambda df, other: df[i].eqNullSafe(other[i]) & (df[h] == other[h])
-    left = F.broadcast(side) if n <= broadcast_rows else side
+    left = F.broadcast(side) if n <= broadcast_rows else shuffled(side)
     stays = hashed.join(left, at(hashed, left), "left_anti")
     if again:  # rows that repeat: these alone are grouped
         twice = gone.where("kept").select(i, h)
-        twice = F.broadcast(twice) if again <= broadcast_rows else twice
+        twice = F.broadcast(twice) if again <= broadcast_rows else shuffled(twice)
         stays = stays.unionByName(hashed.join(twice, at(hashed, twice), "left_semi").dropDuplicates([i, h]))
     return stays.select(*docs.columns)
 

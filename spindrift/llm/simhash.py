@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXTS, by_batch, kept_rows, text_bytes, written
+from .common import TEXTS, by_batch, kept_rows, shuffled, text_bytes, written
 from .components import connected_components
 
 BITS = 64
@@ -159,7 +159,7 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 1024) -> DataFrame
     masks = covering_masks(radius)
     keyed = distinct.select(F.posexplode(_keys(F.col("fp"), list(enumerate(masks)))).alias("n", "key"), "fp")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(sizes, "key")
+    met = keyed.join(shuffled(sizes), "key")
     small = met.where(F.col("size") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     # over-full buckets: the bits that their table left out are covered again
     again = F.lit(None)
@@ -175,8 +175,8 @@ def _classes(found: DataFrame, radius: int, bucket: int) -> DataFrame:
     """``(fp, best)`` for every fingerprint: the least row of its component, one with an id before one without."""
     distinct = found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least"))
     roots = connected_components(links(distinct.select("fp"), radius, bucket))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return named.join(named.groupBy("root").agg(F.min("least").alias("best")), "root").select("fp", "best")
+    named = distinct.join(shuffled(roots), distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return named.join(shuffled(named.groupBy("root").agg(F.min("least").alias("best"))), "root").select("fp", "best")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one with the least id."""
     found = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    rows = found.join(_classes(found, radius, bucket), "fp", "left").select("id", "hash", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))).alias("kept"))
+    rows = found.join(shuffled(_classes(found, radius, bucket)), "fp", "left").select("id", "hash", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))).alias("kept"))
     return kept_rows(docs, id_col, _hash(text_col), rows)
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from spindrift.llm import decontamination, quality_knn
 from tests.llm.test_near_copies import brute
 from tests.llm.test_packing import verify
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_components, brute_fingerprint, open_joins
 
 
 def test_every_stage(spark, tmp_path):
@@ -61,3 +61,9 @@ def test_odd_documents(spark, tmp_path):
     got = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == {1: 1, None: 1}
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_dedup_says_how_it_joins(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert open_joins(monkeypatch, spark, lambda: corpus_pipeline.near_dedup_stage(spark, docs, d).collect()) == []

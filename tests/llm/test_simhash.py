@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spindrift.llm import simhash
+from spindrift.llm import components, simhash
 
 
 def brute_fingerprint(text, n=3):
@@ -99,3 +99,35 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0, r._hash) for r in got.collect()) == [(0, 9), (1, 7)]
+
+
+def open_joins(monkeypatch, spark, run):
+    """The joins that ``run`` makes without saying how, which leaves it to the size of files what is broadcast."""
+    kind = type(spark.range(0))
+    join, found = kind.join, []
+
+    def watched(self, *a, **b):
+        out = join(self, *a, **b)
+        found.append(next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x))
+        return out
+
+    monkeypatch.setattr(kind, "join", watched)
+    run()
+    assert found
+    return [x for x in found if "strategy=" not in x]
+
+
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    # a small file, and fifteen keys for each of its rows
+    spark.range(2000).selectExpr("id * 7 AS fp").write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_with_and_without_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", few)
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (60, 50), (50, 60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in components.connected_components(df).collect()}
+    assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 150)} | {50: 50, 60: 50}

@@ -182,7 +182,7 @@ def _classes(found: DataFrame, radius: int, bucket: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:
     """``(id, fp, component_id)`` for every row of ``docs``; component_id is the least id reachable by links."""
     found = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    return found.join(_classes(found, radius, bucket), "fp", "left").select("id", "fp", F.col("best.id").alias("component_id"))
+    return found.join(shuffled(_classes(found, radius, bucket)), "fp", "left").select("id", "fp", F.col("best.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, bucket: int = 1024) -> DataFrame:

@@ -131,3 +131,7 @@ def test_components_with_and_without_broadcast(spark, monkeypatch, few):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.root for r in components.connected_components(df).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 150)} | {50: 50, 60: 50}
+
+
+def test_query_says_how_it_joins(spark, monkeypatch):
+    assert open_joins(monkeypatch, spark, lambda: simhash.op8_simhash(spark, "/root/testdata/sf0.001").collect()) == []
